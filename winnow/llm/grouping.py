@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Lengths up to this share of the capacity are small.
-SMALL = 1 / 3
+#: What is tried: the share of the capacity up to which lengths are small, and whether a configuration's smallest
+#: place stays free for best fit. The first does best where lengths vary much, the second where they vary little.
+SETTINGS = ((1 / 3, True), (1 / 16, False))
 MAX_GROUPS, MAX_PIVOTS = 128, 1000
 _EPS = 1e-7
 
@@ -80,8 +81,8 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[
     """Configurations and how often to use each (fractional) so that they cover ``demand`` with few bins."""
     m = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
-    for _ in range(MAX_PIVOTS):
-        inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / basis.diagonal())
+    for pivot in range(MAX_PIVOTS):
         amount = np.maximum(inverse @ demand, 0)
         duals = inverse.sum(axis=0)
         value, column = _best_configuration(sizes, np.maximum(duals, 0), capacity)
@@ -93,6 +94,11 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[
             break
         leaves = rows[np.argmin(amount[rows] / direction[rows])]
         basis[:, leaves] = column
+        row = inverse[leaves] / direction[leaves]
+        inverse -= np.outer(direction, row)
+        inverse[leaves] = row
+        if pivot % 100 == 99:
+            inverse = np.linalg.inv(basis)  # against rounding
     amount = np.maximum(np.linalg.solve(basis, demand), 0)
     return [(basis[:, j], float(amount[j])) for j in range(m) if amount[j] > _EPS]
 
@@ -141,12 +147,24 @@ class _Free:
 
 def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Bins]:
     """Bins that hold each length exactly as often as it is counted; lengths are from 1 to the capacity."""
+    least = -(-int((lengths * counts).sum()) // capacity)
+    best: list[Bins] | None = None
+    for setting in SETTINGS:
+        bins = _grouped(lengths, counts, capacity, *setting)
+        if best is None or sum(b.count for b in bins) < sum(b.count for b in best):
+            best = bins
+        if sum(b.count for b in best) <= least + least // 1000:
+            break
+    return best
+
+
+def _grouped(lengths: np.ndarray, counts: np.ndarray, capacity: int, small: float, free_last: bool) -> list[Bins]:
     free = _Free(capacity)
     whole = lengths == capacity
     if counts[whole].sum():
         free.add(Bins(int(counts[whole].sum()), ((capacity, 1),)))
-    large = (lengths > capacity * SMALL) & ~whole
-    groups = linear_groups(lengths[large], counts[large], MAX_GROUPS) if counts[large].sum() else []
+    large = (lengths > capacity * small) & ~whole
+    groups = linear_groups(lengths[large], counts[large], min(MAX_GROUPS, 1 + int(counts[large].sum()) // 16)) if counts[large].sum() else []
     if groups:
         sizes = [g[0][0] for g in groups]
         # Groups that round up to one size are one row of the program.
@@ -155,9 +173,9 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Bins]:
         demand = np.array([sum(k for _, k in queue[s]) for s in merged], dtype=float)
         for column, amount in configurations(merged, demand, capacity):
             left = min([int(amount + 1e-9), *(int(sum(k for _, k in queue[merged[i]]) // column[i]) for i in np.flatnonzero(column))])
-            # The smallest place stays free: the rounding of the others adds to its room, and best fit uses both.
             slots = [merged[i] for i in np.flatnonzero(column) for _ in range(int(column[i]))]
-            slots = slots[: max(1, len(slots) - 1)]
+            if free_last:  # the rounding of the other places adds to its room
+                slots = slots[: max(1, len(slots) - 1)]
             while left:
                 # The longest lengths of each group take its places, as many bins at once as the runs allow.
                 need: dict[int, int] = defaultdict(int)
