@@ -98,6 +98,16 @@ class Words:
         value = _BYTE[LOWER[self.data[self._inside]]] * powers(int(length.max()))[place]
         return mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * _STEP)
 
+    def prefix_hashes(self, n: int) -> np.ndarray:
+        """A 64-bit hash of the first ``n`` bytes of each word with A-Z lower-cased; 0 for words that are shorter."""
+        out = np.zeros(len(self.start), np.uint64)
+        long = np.flatnonzero(self.end - self.start >= n)
+        total = np.full(len(long), n, np.uint64) * _STEP
+        for k, p in enumerate(powers(n)):
+            total += _BYTE[LOWER[self.data[self.start[long] + k]]] * p
+        out[long] = mix(total + np.uint64(1))
+        return out
+
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """The hash of each run of ``n`` consecutive word hashes; empty if there are fewer words."""
