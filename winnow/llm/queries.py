@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontam, licenses, line_dedup, packing, secrets, token_counts, toxicity
+from winnow.llm import chat, decontam, licenses, line_dedup, packing, secrets, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.report(turns.unionByName(more))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
@@ -42,4 +49,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_packing, op5_secrets, op8_licenses, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_packing, op5_secrets, op7_chat_format, op8_licenses, op9_token_counts, op10_line_dedup)}
