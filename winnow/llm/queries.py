@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import ann, chat, decontam, licenses, line_dedup, packing, secrets, token_counts, toxicity
+from winnow.llm import ann, chat, decontam, licenses, line_dedup, neardup, packing, secrets, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -54,4 +58,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_packing, op5_secrets, op6_nearest, op7_chat_format, op8_licenses, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_near_duplicates, op4_packing, op5_secrets, op6_nearest, op7_chat_format, op8_licenses, op9_token_counts, op10_line_dedup)}
