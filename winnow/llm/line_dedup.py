@@ -41,8 +41,10 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     # Clustered by the range partitioning already: no further exchange, and each group lies together in the stream.
     held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set("pos").alias("lines"))
     # At most one row a key and task is exchanged here, however many documents hold the key.
-    repeated = held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    lost = held.join(repeated.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    counted = held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    # Written, so that the join has exchanges of its own on both sides and may split a key with very many documents.
+    repeated = written(counted.select("h1", "h2", "keeper"), "repeated")
+    lost = held.join(repeated, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     by_doc = lost.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
     words = F.array_distinct(F.transform("lines", lambda p: F.shiftright(p, 6)))
     bits = lambda w: F.aggregate(F.filter("lines", lambda p: F.shiftright(p, 6) == w), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)))))
