@@ -57,5 +57,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_near_duplicates, op4_packing, op5_secrets, op6_nearest, op7_chat_format, op8_licenses, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_near_duplicates, op4_packing, op5_secrets, op6_nearest, op7_chat_format, op8_licenses, op9_token_counts, op10_line_dedup, pipeline)}
