@@ -10,6 +10,8 @@
    buckets are cut into blocks of members, and the full sets of two blocks are intersected as bitmaps in one task,
    which returns links, not pairs.
 4. Components of the verified links, by smallest labels.
+
+Joins of pairs with sketches or sets are sort-merge joins at every size: pairs grow with the corpus.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 near = hmh.estimate(_registers(part.column(4)), _registers(part.column(5)), n, m)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near)], names=["a", "b", "near"])
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")).hint("merge")
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     return joined.mapInArrow(run, "a long, b long, near double")
 
@@ -99,7 +101,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for part in blocks(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_packed(s) for s in hmh.shingle_sets(part.column(1))], pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     return texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -119,7 +121,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same))
 
     full = full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")).hint("merge")
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
@@ -143,7 +145,7 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the members of two blocks (or one) of a bucket, but those its centre has settled."""
+    """What the links between the members of two blocks (or one) of a bucket connect, but for those its centre has settled."""
     node, side, joined, far = (rows[c].to_numpy() for c in ("node", "side", "joined", "far"))
     sets = [_unpacked(x) for x in rows["shingles"].to_pylist()]
     alone = rows["i"][0].as_py() == rows["j"][0].as_py()
@@ -155,15 +157,29 @@ def _block_links(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     alike = 100 * both >= percent * (size[first][:, None] + size[second][None, :] - both)
     settled = (joined[first][:, None] & (joined | far)[second][None, :]) | (far[first][:, None] & joined[second][None, :])
     x, y = np.nonzero(alike & ~settled & (node[first][:, None] != node[second][None, :]))
-    return np.minimum(node[first][x], node[second][y]), np.maximum(node[first][x], node[second][y])
+    return _forest(node[first][x], node[second][y])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Instead of all links (a, b), each node with the smallest that it reaches over them: the same components."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            return nodes[label[label != np.arange(len(nodes))]], nodes[label != np.arange(len(nodes))]
+        label = new
 
 
 def blockwise(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among unsettled members (key, node, joined, far, open) of large buckets."""
+    """(a, b) for all that links among unsettled members (key, node, joined, far, open) of large buckets connect."""
     cut = members.withColumn("n", F.ceil(F.col("open") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "joined", "far")
     task = ["key", "i", "j"]
-    rows = dealt.join(full_sets(docs, members), "node").repartition(*task).sortWithinPartitions(*task)
+    rows = dealt.join(full_sets(docs, members).hint("merge"), "node").repartition(*task).sortWithinPartitions(*task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -211,13 +227,13 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     linked = written(verified(stars.where(F.col("near") >= level - error), docs, percent), "linked")
     # Each member of a bucket by what its centre tells of it.
     told = stars.join(linked.withColumn("joined", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.coalesce("joined", F.lit(False)).alias("joined"), (F.col("near") < apart).alias("far"))
-    placed = members.join(told, ["centre", "node"])
+    placed = members.join(told.hint("merge"), ["centre", "node"])
     unsettled = placed.groupBy("key").agg(F.count("*").alias("open"), F.sum((~F.col("joined")).cast("int")).alias("apart"), F.max(~F.col("joined") & ~F.col("far")).alias("some_near")).where("apart > 1 OR open > 1 AND some_near")
-    left = written(placed.join(unsettled, "key").where("NOT joined OR some_near"), "left")
+    left = written(placed.join(unsettled.hint("merge"), "key").where("NOT joined OR some_near"), "left")
     small = left.where(F.col("open") <= SMALL_BUCKET)
     x, y = (small.select("key", F.col("node").alias(i), F.col("joined").alias(f"joined_{i}"), F.col("far").alias(f"far_{i}")) for i in "ab")
     settled = (F.col("joined_a") & (F.col("joined_b") | F.col("far_b"))) | (F.col("far_a") & F.col("joined_b"))
-    rest = written(x.join(y, "key").where((F.col("a") < F.col("b")) & ~settled).select("a", "b").distinct(), "rest")
+    rest = written(x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & ~settled).select("a", "b").distinct(), "rest")
     near = written(estimated(rest, nodes).where(F.col("near") >= level - error), "near")
     more = written(blockwise(left.where(F.col("open") > SMALL_BUCKET), docs, percent), "more")
     labels = components(linked.unionByName(verified(near, docs, percent)).unionByName(more))
