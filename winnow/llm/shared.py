@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
+from winnow.sources.scratch import shared_dir
 
 #: Word separators of the benchmark and licence contracts, as a Java/RE2/Python pattern of the word itself.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,16 +16,6 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _local:
-        _local["dir"] = "file://" + tempfile.mkdtemp(prefix="winnow-scratch-")
-    return _local["dir"]
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
