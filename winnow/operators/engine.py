@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from winnow.functions import temporal
 from winnow.plans import recover
-from winnow.plans.compile import HIT, RAISED, Compiled, Compiler, closed, raising
+from winnow.plans.compile import HIT, RAISED, Compiled, Compiler, raising
 from winnow.plans.errors import ArgumentError, ConfigError, ValueError_
 from winnow.plans.parser import parse
 from winnow.plans.tree import Empty, Node
@@ -120,7 +120,10 @@ class Engine:
         tree = self._prepared(query, schema, options)
         if options.strict_fields:
             _check_fields(tree, schema)
-        return Compiler(schema, options, self.registry, options.on_value_error == "throw", highlight).compile(tree), options
+        compiler = Compiler(schema, options, self.registry, options.on_value_error == "throw", highlight)
+        compiled = compiler.compile(tree)
+        compiled.prepared = compiler.prepared
+        return compiled, options
 
     def column(self, query: str | Node, schema: T.StructType, **per_call) -> Column:
         """The predicate of ``query`` over rows of ``schema``, true or false for every row."""
@@ -152,12 +155,14 @@ class Engine:
         """
         _check_frame(df)
         compiled, _ = self._compiled(query, df.schema, per_call, True)
-        found = F.array_distinct(F.when(closed(compiled.predicate), compiled.hits).otherwise(F.array().cast(f"array<{HIT}>")))
+        shown = [c for c in df.columns if c != name]
+        ready = df.withColumns(compiled.prepared) if compiled.prepared else df
+        # Spans are worked out first, in a projection of their own: Python can't run inside a lambda's expression.
+        hits = ready.withColumn("__hits", F.when(raising(compiled), compiled.hits).otherwise(F.array().cast(f"array<{HIT}>")))
+        found = F.array_distinct("__hits")
         located = F.transform(F.filter(found, lambda h: h["ranges"].isNotNull()), lambda h: h["path"])
         kept = F.filter(found, lambda h: h["ranges"].isNotNull() | ~F.array_contains(located, h["path"]))
-        if compiled.bad is not False:
-            kept = F.when(raising(compiled).isNotNull(), kept)
-        return df.withColumn(name, kept)
+        return hits.select(*(F.col(f"`{c.replace('`', '``')}`") for c in shown), kept.alias(name))
 
 
 def _check_frame(df: object) -> None:

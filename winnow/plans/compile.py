@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ class Compiled:
     hits: Column | None = None
     #: (key, folded column, value) of an equality that a run of ORs may gather.
     equality: tuple[str, Column, str] | None = None
+    #: Columns to add before ``hits`` is projected.
+    prepared: dict[str, Column] = field(default_factory=dict)
 
 
 def closed(predicate: Column | bool) -> Column:
@@ -88,6 +90,8 @@ def _source(node: Node) -> str:
 class Compiler:
     def __init__(self, schema: T.StructType, options, registry: V.Registry, strict: bool = False, highlight: bool = False):
         self.schema, self.options, self.registry, self.strict, self.highlight = schema, options, registry, strict, highlight
+        #: Columns that highlights refer to by name: Python functions can't stand inside a lambda.
+        self.prepared: dict[str, Column] = {}
 
     def compile(self, tree: Node) -> Compiled:
         with deep_recursion():
@@ -200,8 +204,9 @@ class Compiler:
         if not c.many:
             ranges = F.array(F.struct(F.lit(0).alias("start"), F.length(c.column).alias("end"))) if how == "whole" else all_spans(c.column, how, False) if how else F.lit(None)
             return F.array(F.struct(F.lit(".".join(c.path)).alias("path"), F.array(*map(F.lit, c.path)).alias("segments"), ranges.alias("ranges")).cast(HIT))
-        spans = all_spans(c.column, how, True) if callable(how) else None
-        passes = all_spans(c.column, None, True, kind, operand, context) if kind.exists(F.array(), operand, context) is not None else None
+        spans = self.prepare(all_spans(c.column, how, True)) if callable(how) else None
+        tested = isinstance(c.kind, T.StringType) and kind.exists(F.array(), operand, context) is not None
+        passes = self.prepare(all_spans(c.column, None, True, kind, operand, context)) if tested else None
 
         def one(x: Column, i: Column) -> Column:
             segments = F.array(*(i.cast("string") if p is INDEX else F.lit(p) for p in c.path))
@@ -212,6 +217,11 @@ class Compiler:
 
         return F.filter(F.transform(c.column, one), lambda h: h.isNotNull())
 
+    def prepare(self, column: Column) -> Column:
+        name = f"__winnow_{len(self.prepared)}"
+        self.prepared[name] = column
+        return F.col(name)
+
     def refused(self, field: Field, kind: V.ValueType, operand: object, context: V.Context) -> Column | bool:
         """Whether any candidate of the path is one that the policy refuses at this site."""
         of = V.VALUE_FAILURE_POLICY[context.site]
