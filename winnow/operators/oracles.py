@@ -44,17 +44,17 @@ def oracle_sql() -> dict[str, str]:
         "date_offset": _where("orders", "o_orderdate > TIMESTAMP '1995-12-31 22:00:00' AND o_orderdate < TIMESTAMP '1996-02-01 05:00:00'", "o_orderkey", "o_orderdate"),
         "date_text": _where(DATED, "read >= TIMESTAMP '1996-03-01 08:30:00.5'", "o_orderkey", "text"),
         "date_column": _where(DATED, "day >= DATE '1996-02-02' AND day <= DATE '1996-02-10'", "o_orderkey", "day"),
-        "date_epoch": _where(DATED, "millis < epoch_ms(TIMESTAMP '1993-01-01')", "o_orderkey"),
+        "date_epoch": _where(DATED, "millis < epoch_ms(TIMESTAMP '1996-01-01')", "o_orderkey"),
         "date_format": _where(DATED, "day >= DATE '1997-06-01'", "o_orderkey", "local"),
         "time_of_day": _where(DATED, "clock >= '08:30' AND clock < '17:15'", "o_orderkey", "clock"),
-        "wildcard_prefix": _where("part", "lower(p_type) LIKE 'promo%'", "p_partkey", "p_type"),
-        "wildcard_suffix": _where("part", "lower(p_type) LIKE '%brass'", "p_partkey", "p_type"),
+        "wildcard_prefix": _where("part", "lower(p_name) LIKE 'blu%'", "p_partkey", "p_name"),
+        "wildcard_suffix": _where("part", "lower(p_name) LIKE '%bolt'", "p_partkey", "p_name"),
         "wildcard_contains": _where("part", "p_type LIKE '%ECONOMY%'", "p_partkey", "p_type"),
         "wildcard_multi": _where("documents", "regexp_matches(lower(text), '(?s)th.*or.*ing.*sh')", "doc_id"),
-        "wildcard_ends": _where("part", "lower(p_type) LIKE 's%n%l'", "p_partkey", "p_type"),
+        "wildcard_ends": _where("part", "lower(p_name) LIKE 'b%e%t'", "p_partkey", "p_name"),
         "wildcard_single": _where("customer", "lower(c_name) LIKE '%#_____0__5'", "c_custkey", "c_name"),
         "wildcard_length": _where("orders", "length(o_orderpriority) = 5", "o_orderkey", "o_orderpriority"),
-        "wildcard_any": _where("part", "false", "p_partkey"),
+        "wildcard_any": _where("part", "p_name IS NOT NULL", "p_partkey"),
         "regex_plain": _where("documents", "contains(text, 'license')", "doc_id"),
         "regex_flag_i": _where("documents", "regexp_matches(text, '(?i)the (MIT|apache) license')", "doc_id"),
         "regex_class": _where("customer", r"regexp_matches(c_name, '#0*[1-9]\d?[02468]\z')", "c_custkey", "c_name"),
@@ -83,7 +83,7 @@ def oracle_sql() -> dict[str, str]:
         "array_any": _where(NESTED, "len(list_filter(words, lambda w: lower(w) LIKE 'tur%')) > 0", "c_custkey"),
         "array_regex": _where(NESTED, r"len(list_filter(words, lambda w: regexp_matches(w, '\A[A-M].*E\z'))) > 0", "c_custkey"),
         "array_index": _where(NESTED, "i1 = 0 AND lower(words[1]) LIKE 'mach%'", "c_custkey"),
-        "array_float": _where("embeddings", "len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.45)) > 0", "vec_id", "label"),
+        "array_float": _where("embeddings", "len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.4)) > 0", "vec_id", "label"),
         "unknown_field": _where("part", "p_size = 1", "p_partkey"),
         "empty_query": "SELECT c_custkey FROM customer",
         "test_column": "SELECT o_orderkey, coalesce(o_totalprice > 150000, false) OR coalesce(lower(o_orderstatus) = 'f', false) AS matched FROM orders",
@@ -92,8 +92,8 @@ def oracle_sql() -> dict[str, str]:
 SELECT o_orderkey, 'o_orderstatus' AS path, '0-1' AS spans FROM m UNION ALL SELECT o_orderkey, 'o_totalprice', '' FROM m""",
         "highlight_or_not": """SELECT o_orderkey, 'o_orderstatus' AS path, '0-1' AS spans FROM orders WHERE lower(o_orderstatus) = 'p'
 UNION ALL SELECT o_orderkey, 'o_totalprice', '' FROM orders WHERE o_totalprice > 350000 AND NOT coalesce(lower(o_orderstatus) = 'f', false)""",
-        "highlight_wildcard": """SELECT p_partkey, 'p_type' AS path, '0-5,' || (instr(lower(p_type), 'brass') - 1) || '-' || (instr(lower(p_type), 'brass') + 4) AS spans
-FROM part WHERE lower(p_type) LIKE 'promo%brass'""",
+        "highlight_wildcard": """SELECT p_partkey, 'p_name' AS path, '0-2,' || (instr(lower(p_name), 'bolt') - 1) || '-' || (instr(lower(p_name), 'bolt') + 3) AS spans
+FROM part WHERE lower(p_name) LIKE 'bl%bolt'""",
         "highlight_array": f"""SELECT c_custkey, 'words.' || (i - 1) AS path, (length(words[i]) - 1) || '-' || length(words[i]) AS spans
 FROM (SELECT c_custkey, words, unnest(range(1, len(words) + 1)) AS i FROM {NESTED}) WHERE lower(words[i]) LIKE '%y' AND strlen(replace(lower(words[i]), 'y', '')) = strlen(words[i]) - 1""",
         "highlight_regex": """SELECT c_custkey, 'c_name' AS path, (instr(c_name, m) - 1) || '-' || (instr(c_name, m) - 1 + length(m)) AS spans
