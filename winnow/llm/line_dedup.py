@@ -56,27 +56,35 @@ def _dropped(bitmap: Column, pos: Column) -> Column:
     return F.call_function("shiftright", word, pos.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
 
+def _marked(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("bitmap").alias("__bitmap"))
+    return docs.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
+
+
+def _kept(text: Column, bitmap: Column) -> Column:
+    left = F.filter(_lines(text), lambda line, i: ~_dropped(bitmap, i))
+    return F.when(bitmap.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(left, "\n"))
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` rebuilt from the kept lines, and n_lines and n_dropped beside the other columns.
+    """``docs`` with ``text`` rebuilt from the kept lines; all other columns stay as they are.
 
     A null text is one empty line. A document all of whose lines go keeps an empty text.
     """
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("bitmap").alias("__bitmap"))
-    joined = docs.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
-    kept = F.filter(_lines(F.col("text")), lambda line, i: ~_dropped(F.col("__bitmap"), i))
-    n_dropped = F.aggregate(F.map_values("__bitmap"), F.lit(0).cast("long"), lambda acc, w: acc + F.bit_count(w))
-    return joined.withColumns({
-        "n_lines": F.size(_lines(F.col("text"))).cast("long"),
-        "n_dropped": F.when(F.col("__bitmap").isNull(), F.lit(0).cast("long")).otherwise(n_dropped),
-        "text": F.when(F.col("__bitmap").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")),
-    }).drop("__id", "__bitmap")
+    return _marked(docs, bitmaps).withColumn("text", _kept(F.col("text"), F.col("__bitmap"))).drop("__id", "__bitmap")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` without the repeated lines: see :func:`drop_bitmaps` for which lines go, :func:`apply_bitmaps` for the columns."""
+    """``docs`` without the repeated lines: see :func:`drop_bitmaps` for which lines go."""
     return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256) of each document."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+def report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of each row of ``docs``."""
+    marked = _marked(docs.select("doc_id", "text"), drop_bitmaps(docs, min_chars, min_docs))
+    n_dropped = F.aggregate(F.map_values("__bitmap"), F.lit(0).cast("long"), lambda acc, w: acc + F.bit_count(w))
+    return marked.select(
+        "doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
+        F.when(F.col("__bitmap").isNull(), F.lit(0).cast("long")).otherwise(n_dropped).alias("n_dropped"),
+        F.sha2(_kept(F.col("text"), F.col("__bitmap")), 256).alias("kept_sha256"),
+    )
