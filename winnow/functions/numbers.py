@@ -29,7 +29,7 @@ def parse_number(text: str) -> int | float | None:
 def number_column(text: Column) -> Column:
     """The number that each text spells, as a double; null for any other text."""
     value = F.when(text.rlike(DECIMAL), text.try_cast("double"))
-    exact = F.length(text) <= 16  # 15 digits and a sign are always exact
+    exact = F.length(text) <= 15  # so many digits are always exact
     held = text.try_cast("decimal(38,0)") == value.try_cast("decimal(38,0)")
     finite = F.abs(value) < float("inf")
     return F.when(finite & (~text.rlike(INTEGER) | exact | F.coalesce(held, F.lit(False))), value)

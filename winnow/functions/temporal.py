@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -228,8 +229,6 @@ def text_column(text: Column, domain: str, formats: tuple[str, ...] = (), hook:
 
 
 def _hook_column(hook: Callable):
-    import pandas as pd
-
     @F.pandas_udf("domain string, millis long")
     def ask(texts: pd.Series) -> pd.DataFrame:
         found = [from_hook(hook(t)) if t is not None else None for t in texts]

@@ -144,9 +144,11 @@ class Compiler:
             return []
         if not isinstance(found.kind, T.ArrayType):
             return [found]
-        opened = found.opened()
+        if not on_null:
+            return [found.opened()]
         # A null array is a null candidate; an empty one has no candidates.
-        return [replace(found, kind=T.NullType(), column=F.when(found.column.isNotNull(), F.lit(True))) if not found.many else opened, opened] if on_null and not found.many else [opened]
+        whole = found.column if found.many else F.when(found.column.isNotNull(), F.lit(True))
+        return [replace(found, kind=T.NullType(), column=whole), found.opened()]
 
     def clause(self, node: Node, field: Field | None, operator: str, exact: bool) -> Compiled:
         if isinstance(node, Missing):
@@ -179,7 +181,7 @@ class Compiler:
         """The predicate (and highlights) of any candidate's passing the test."""
         tests, hits = [], []
         for c in self.candidates(field, on_null):
-            if test(c.column if not c.many else F.lit(None).cast(c.kind), c.kind) is None:
+            if test(F.lit(None).cast(c.kind) if c.many else c.column, c.kind) is None:
                 continue
             if c.many:
                 whole = many(c.column) if isinstance(c.kind, T.StringType) else None
@@ -266,7 +268,7 @@ class Compiler:
             if reading is None:
                 return None
             signs = ((">", ">="), ("<", "<="))
-            each = [V.test(kind, reading, column_type, ":" + sign[s[0].inclusive], s[2], context) for s, sign in zip(sides, signs, strict=True) if s]
+            each = [V.test(kind, reading, column_type, ":" + sign[s[0].inclusive], s[2], context, all(sides)) for s, sign in zip(sides, signs, strict=True) if s]
             return each[0] & each[1] if len(each) > 1 else each[0]
 
         out = self.over(field, test, lambda values: None, False, bare)

@@ -364,15 +364,15 @@ def date_test(column: Column, operator: str, operand: temporal.Temporal) -> Colu
     return column >= day(days + bool(rest)) if operator == ":>=" else column < day(days + bool(rest))
 
 
-def test(kind: ValueType, reading: Reading, column_type: T.DataType, operator: str, operand: object, context: Context) -> Column:
-    """``value operator operand``, null or false where it doesn't hold."""
+def test(kind: ValueType, reading: Reading, column_type: T.DataType, operator: str, operand: object, context: Context, between: bool = False) -> Column:
+    """``value operator operand``, null or false where it doesn't hold. ``between``: another test bounds the other side."""
     value = reading.value
     if isinstance(kind, _Number):
         if isinstance(column_type, T.StringType):
             column_type = T.DoubleType()
         number = kind.literal(column_type, operand)
         out = value == number if operator in (":", ":=") else ValueType.compare(kind, value, operator, number, context)
-        return kind.finite(column_type, value, out, operator in (":>", ":>="), operator in (":<", ":<="))
+        return out if between else kind.finite(column_type, value, out, operator in (":>", ":>="), operator in (":<", ":<="))
     if isinstance(kind, _Datetime):
         if isinstance(column_type, T.DateType) and operand.domain == "instant":
             return date_test(value, operator, operand)
