@@ -70,13 +70,13 @@ def _glob(text: Column, pattern: tuple[str | Glob, ...]) -> Column:
     if closes:
         checks += [text.endswith(last), F.length(text) >= sum(map(len, literals))]
     if middle:
-        # Each piece at its leftmost place after the one before; -1 once a piece is missing. Linear, and exact.
-        place = lambda at, piece: F.call_function("locate", piece, text, at + 1)
-        step = lambda at, piece: F.when((at < 0) | (place(at, piece) == 0), F.lit(-1)).otherwise(place(at, piece) + F.length(piece) - 1)
-        end = F.aggregate(F.array(*map(F.lit, middle)), F.lit(len(first)), step)
-        # Cheap conditions come first: most rows fail one of them.
-        checks += [text.contains(m) for m in dict.fromkeys(middle)]
-        checks.append((end >= 0) & (end + len(last) <= F.length(text)))
+        # Each piece at its leftmost place after the one before; a place of 0 once a piece is missing. Linear, and
+        # exact. The text rides in the accumulator, so that folding it is paid once.
+        start = F.struct(text.alias("text"), F.lit(1).alias("at"), F.lit(len(first)).alias("size"))
+        place = lambda s, piece: F.when(s["at"] == 0, 0).otherwise(F.call_function("locate", piece, s["text"], s["at"] + s["size"]))
+        step = lambda s, piece: F.struct(s["text"].alias("text"), place(s, piece).alias("at"), F.length(piece).alias("size"))
+        fits = lambda s: (s["at"] > 0) & (s["at"] - 1 + s["size"] + len(last) <= F.length(s["text"]))
+        checks.append(F.aggregate(F.array(*map(F.lit, middle)), start, step, fits))
     out = checks[0]
     for c in checks[1:]:
         out = out & c
