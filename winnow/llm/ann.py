@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.llm.shared import bounded_batches
+
 #: The bounded sample that centroids and codebooks are fitted to, and the most centroids there are.
 SAMPLE, MAX_LISTS = 16384, 1024
 SUBSPACES, CODES = 16, 256
@@ -141,6 +143,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
     own. Ties go to the smaller vec_id.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     n = rows.count()
     result = "query_id long, rank int, vec_id long, score double"

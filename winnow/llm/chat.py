@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm.shared import bounded_batches
 from winnow.llm.textscan import blocks, utf8
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
@@ -74,6 +75,7 @@ def gathered(turns: DataFrame) -> DataFrame:
 
     A null conv_id is a conversation too. Null roles and texts are empty.
     """
+    bounded_batches(turns.sparkSession)
     kept = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 

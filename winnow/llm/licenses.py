@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm.shared import bounded_batches
 from winnow.llm.textscan import ALPHANUMERIC, Words, blocks
 
 
@@ -175,6 +176,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     A null text has no words, no labels and a score of 0. ``score`` is the largest share of a found template's
     words that stand in their places: 1 where a base phrase was found.
     """
+    bounded_batches(docs.sparkSession)
     n, counts = document_frequencies(docs, templates)
     index = Index(templates, inverse_frequencies(n, counts))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import hyperminhash as hmh
 from winnow.llm.components import components
-from winnow.llm.shared import written
+from winnow.llm.shared import bounded_batches, written
 from winnow.llm.textscan import blocks
 
 #: Standard errors of an estimate by which a pair may fall short of the threshold and still be verified.
@@ -33,7 +33,7 @@ SIGMAS = 5
 #: Bytes kept of a shingle's hash for verification: two sets of 1,000 share a false element with probability 4e-9.
 WIDTH = 6
 #: Members up to which a bucket's unsettled pairs are rows, members in a block of a larger one, shingles in a bitmap.
-SMALL_BUCKET, BLOCK, BITMAP = 32, 1024, 1 << 16
+SMALL_BUCKET, BLOCK, BITMAP = 32, 1024, 1 << 13
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -213,6 +213,7 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     that repeat a doc_id should repeat its text: each is reported, as one document. A null doc_id is linked with
     nothing, has a null component and is kept.
     """
+    bounded_batches(docs.sparkSession)
     level = percent / 100
     error = SIGMAS * (level * (1 - level) / hmh.BUCKETS) ** 0.5
     # A pair of one linked to the centre and one farther than this can't reach the level (triangle inequality).

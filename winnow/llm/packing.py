@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm.grouping import Bins, pack
 from winnow.llm.pretokens import cache, encode_texts, strings
-from winnow.llm.shared import written
+from winnow.llm.shared import bounded_batches, written
 from winnow.llm.textscan import blocks
 
 
@@ -85,6 +85,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = Non
     gaps. A repeated row is packed as often as it comes. No documents give no pieces.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     table = written(pieces(docs, capacity, path or public_tokenizers.path("word_bpe_49k.json"), with_ids), "pieces")
     histogram = sorted((r["length"], r["count"]) for r in table.groupBy("length").count().collect())  # a row a length: at most the capacity
     lengths, counts = (np.array(x, np.int64) for x in zip(*histogram, strict=True)) if histogram else (np.zeros(0, np.int64),) * 2

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.pretokens import Split, cache, strings
+from winnow.llm.shared import bounded_batches
 from winnow.llm.textscan import blocks
 
 #: Pre-tokens in the broadcast table, slots for them, and how many each task proposes.
@@ -78,6 +79,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFra
     A null or empty text has no bytes and no tokens. Repeated rows are counted as often as they come.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
+    bounded_batches(docs.sparkSession)
     words = frequent_pretokens(docs)
     own = cache(path, True)
     # Each hashed as a text of its own: a pre-token is its own only pre-token.
