@@ -39,3 +39,14 @@ def test_contract(spark, data, name):
 def test_the_pipeline_is_registered(spark, data):
     df = queries()["pipeline"](spark, data)
     assert "doc_id" in df.columns and df.count() > 0
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    from winnow.llm import shared
+
+    shared.clear_scratch(spark)
+    table = shared.written(spark.range(5), "five")
+    assert table.count() == 5 and shared.clear_scratch(spark) == 1
+    with pytest.raises(Exception, match="."):
+        table.count()
+    assert shared.clear_scratch(spark) == 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import bounded_batches
+from winnow.llm.shared import map_batches
 
 #: The bounded sample that centroids and codebooks are fitted to, and the most centroids there are.
 SAMPLE, MAX_LISTS = 16384, 1024
@@ -143,7 +143,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
     own. Ties go to the smaller vec_id.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     n = rows.count()
     result = "query_id long, rank int, vec_id long, score double"
@@ -158,7 +157,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
             codes = shared.value.encode(x, own) if len(x) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["vec_id", "list", "codes", "embedding"])
 
-    stored = rows.select("vec_id", "embedding").mapInArrow(store, "vec_id long, list int, codes binary, embedding array<double>")
+    stored = map_batches(rows.select("vec_id", "embedding"), store, "vec_id long, list int, codes binary, embedding array<double>")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +166,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
                 at = np.repeat(np.arange(len(lists)), lists.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(lists.ravel(), pa.int32()), batch.column(1).take(pa.array(at))], names=["query_id", "list", "query"])
 
-    asked = rows.where(F.coalesce("asks", F.lit(False))).select("vec_id", "embedding").mapInArrow(route, "query_id long, list int, query array<double>")
+    asked = map_batches(rows.where(F.coalesce("asks", F.lit(False))).select("vec_id", "embedding"), route, "query_id long, list int, query array<double>")
     # One row a list: as many as there are centroids.
     sizes = {r["list"]: (r["n"], 0) for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
     for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect():

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import bounded_batches
+from winnow.llm.shared import map_batches
 from winnow.llm.textscan import blocks, utf8
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
@@ -75,7 +75,6 @@ def gathered(turns: DataFrame) -> DataFrame:
 
     A null conv_id is a conversation too. Null roles and texts are empty.
     """
-    bounded_batches(turns.sparkSession)
     kept = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
@@ -116,7 +115,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         if held:
             yield row([(held[0], held[1].decode(), held[2])])
 
-    return gathered(turns).mapInArrow(run, "conv_id long, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    return map_batches(gathered(turns), run, "conv_id long, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
 
 _TURN = re.compile(re.escape(START) + rb"([^\n]*)\n(.*?)" + re.escape(END), re.DOTALL)
@@ -175,4 +174,4 @@ def report(turns: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(names, held.row(), strict=True))])
 
-    return gathered(turns).mapInArrow(run, DIGEST)
+    return map_batches(gathered(turns), run, DIGEST)

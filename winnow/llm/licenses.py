@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import bounded_batches
+from winnow.llm.shared import map_batches
 from winnow.llm.textscan import ALPHANUMERIC, Words, blocks
 
 
@@ -101,7 +101,7 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(["", *(vocabulary.words[i] for i in found)]), pa.array([n, *found.values()], pa.int64())], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in rows}
     return counts.pop("", 0), counts
 
@@ -176,7 +176,6 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     A null text has no words, no labels and a score of 0. ``score`` is the largest share of a found template's
     words that stand in their places: 1 where a base phrase was found.
     """
-    bounded_batches(docs.sparkSession)
     n, counts = document_frequencies(docs, templates)
     index = Index(templates, inverse_frequencies(n, counts))
 
@@ -186,4 +185,4 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
                 yield _found(part, index)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

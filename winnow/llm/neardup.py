@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import hyperminhash as hmh
 from winnow.llm.components import components
-from winnow.llm.shared import bounded_batches, written
+from winnow.llm.shared import map_batches, written
 from winnow.llm.textscan import blocks
 
 #: Standard errors of an estimate by which a pair may fall short of the threshold and still be verified.
@@ -47,7 +47,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 registers = [hmh.registers(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(registers, pa.binary())], names=["doc_id", "n", "k1", "k2", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, registers binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, registers binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -64,7 +64,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
                 keys = hmh.band_keys(_registers(part.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), hmh.BANDS)))], names=["key", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "key long, node long")
+    return map_batches(nodes.select("node", "registers"), run, "key long, node long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")).hint("merge")
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    return joined.mapInArrow(run, "a long, b long, near double")
+    return map_batches(joined, run, "a long, b long, near double")
 
 
 def _packed(shingles: np.ndarray) -> bytes:
@@ -102,7 +102,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_packed(s) for s in hmh.shingle_sets(part.column(1))], pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    return texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    return map_batches(texts, sets, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -122,7 +122,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     full = full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")).hint("merge")
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    return map_batches(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b"), compare, "a long, b long")
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -202,7 +202,7 @@ def blockwise(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     held.append(batch.slice(low, high - low))
         yield from done()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(rows, run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -213,7 +213,6 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     that repeat a doc_id should repeat its text: each is reported, as one document. A null doc_id is linked with
     nothing, has a null component and is kept.
     """
-    bounded_batches(docs.sparkSession)
     level = percent / 100
     error = SIGMAS * (level * (1 - level) / hmh.BUCKETS) ** 0.5
     # A pair of one linked to the centre and one farther than this can't reach the level (triangle inequality).

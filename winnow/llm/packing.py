@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm.grouping import Bins, pack
 from winnow.llm.pretokens import cache, encode_texts, strings
-from winnow.llm.shared import bounded_batches, written
+from winnow.llm.shared import map_batches, written
 from winnow.llm.textscan import blocks
 
 
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, nth long" + ", ids array<int>" * with_ids)
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, nth long" + ", ids array<int>" * with_ids)
 
 
 def places(plan: list[Bins]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -85,7 +85,6 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = Non
     gaps. A repeated row is packed as often as it comes. No documents give no pieces.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     table = written(pieces(docs, capacity, path or public_tokenizers.path("word_bpe_49k.json"), with_ids), "pieces")
     histogram = sorted((r["length"], r["count"]) for r in table.groupBy("length").count().collect())  # a row a length: at most the capacity
     lengths, counts = (np.array(x, np.int64) for x in zip(*histogram, strict=True)) if histogram else (np.zeros(0, np.int64),) * 2
@@ -112,4 +111,4 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = Non
 
     order = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*order).schema)
-    return ranked.select(*order, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return map_batches(ranked.select(*order, "rank"), place, f"{fields}, sequence_id long, offset long")

@@ -23,7 +23,7 @@ from winnow.llm.textscan import mix, powers
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Pre-tokens whose encodings one worker keeps; beyond that it starts afresh.
-MAX_CACHED = 1 << 19
+MAX_CACHED = 1 << 18
 _CONTRACTION = re.compile(r"'(?:[sdmt]|re|ve|ll)", re.IGNORECASE)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import bounded_batches
+from winnow.llm.shared import map_batches
 from winnow.llm.textscan import LOWER, blocks, utf8
 
 #: Strings that a piece of a pattern is followed as exactly.
@@ -210,9 +210,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in row] for row in find(part.column(1), rules)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, SPANS)], names=["doc_id", "spans"])
 
-    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, shown: str = "[SECRET]") -> DataFrame:
@@ -233,8 +232,7 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, shown: str = "[SECRET
                         texts[i] = "".join([*done, texts[i][end:]])
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

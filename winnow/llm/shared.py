@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +21,31 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what this process has written so far, and tells how many tables that were.
+
+    DataFrames that operators returned read these tables: write or count them before.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_tables)
+    while _tables:
+        folder = jvm.org.apache.hadoop.fs.Path(_tables.pop()).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+    return n
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; ``lower`` has a fast path for the many texts that are pure ASCII."""
     plain = F.octet_length(text) == F.length(text)
@@ -44,5 +66,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def _trimmed(run: Callable) -> Callable:
+    """``run``, which gives memory that it has freed back to the system when its task ends: workers outlive tasks."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, with bounded batches and workers that stay small between tasks."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(_trimmed(run), schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

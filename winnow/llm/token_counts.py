@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.pretokens import Split, cache, strings
-from winnow.llm.shared import bounded_batches
+from winnow.llm.shared import map_batches
 from winnow.llm.textscan import blocks
 
 #: Pre-tokens in the broadcast table, slots for them, and how many each task proposes.
@@ -69,7 +69,7 @@ def frequent_pretokens(texts: DataFrame) -> list[str]:
         top = seen.most_common(PROPOSED)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([k for _, k in top], pa.int64())], names=["word", "n"])
 
-    rows = texts.select("text").mapInArrow(propose, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = map_batches(texts.select("text"), propose, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in rows.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
@@ -79,7 +79,6 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFra
     A null or empty text has no bytes and no tokens. Repeated rows are counted as often as they come.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    bounded_batches(docs.sparkSession)
     words = frequent_pretokens(docs)
     own = cache(path, True)
     # Each hashed as a text of its own: a pre-token is its own only pre-token.
@@ -104,4 +103,4 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), n_bytes, pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
