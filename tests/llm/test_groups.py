@@ -104,7 +104,7 @@ def test_nearest_neighbours(spark, monkeypatch):
     centers = rng.normal(size=(12, 16))
     rows = [(i, [float(np.float32(v)) for v in centers[i % 12] + 0.5 * rng.normal(size=16)]) for i in range(2000)]
     rows += [(i, rows[7][1]) for i in range(2000, 2900)]  # one vector that is very common
-    bad = [(20_000, None), (20_020, [0.0] * 16), (20_040, [float("nan")] * 16), (20_060, [None] * 16), (20_080, [float("inf")] * 16), (None, rows[0][1])]
+    bad = [(20_000, None), (20_020, [0.0] * 16), (20_040, [float("nan")] * 16), (20_060, [None] * 16), (20_080, [float("inf")] * 16), (20_100, [1.0, 2.0]), (20_120, []), (None, rows[0][1])]
     got: dict[int, list] = {}
     for r in ann.search(_vectors(spark, rows + bad), F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))

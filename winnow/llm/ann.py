@@ -138,16 +138,18 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``queries`` holds, but itself.
 
-    ``vectors`` has vec_id and embedding, all of one length. Rows whose vec_id is null, or whose vector is null,
-    zero or not finite take no part. Repeated rows are candidates as often as they come, but a vec_id is never its
+    ``vectors`` has vec_id and embedding. Rows whose vec_id is null, or whose vector is null, zero, not finite or of
+    another length than most take no part. Repeated rows are candidates as often as they come, but a vec_id is never its
     own. Ties go to the smaller vec_id.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    n = rows.count()
     result = "query_id long, rank int, vec_id long, score double"
-    if not n:
+    usual = rows.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
+    if not usual:
         return spark.createDataFrame([], result)
+    n = usual[0]["count"]
+    rows = rows.where(F.size("embedding") == usual[0]["length"])
     shared = spark.sparkContext.broadcast(index or fit(rows, n, k))  # of bounded size: MAX_LISTS centroids
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
