@@ -82,7 +82,8 @@ def _raises(df, query, **options):
     try:
         engine.filter(query, df).collect()
     except Exception as e:
-        assert isinstance(winnow.value_error(e), winnow.ValueError_), e
+        found = winnow.value_error(e)
+        assert isinstance(found, winnow.ValueError_) and found.details["field"] in query and found.code == "VALUE", e
         return True
     return False
 

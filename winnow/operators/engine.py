@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from functools import cached_property, lru_cache
@@ -136,7 +137,7 @@ class Engine:
         """The rows of ``df`` that match, lazily: a narrow filter, batch or streaming."""
         _check_frame(df)
         compiled, options = self._compiled(query, df.schema, per_call)
-        if options.on_value_error == "throw" and compiled.bad is not False:
+        if options.on_value_error == "throw" and compiled.bad:
             return df.filter(raising(compiled))
         if compiled.predicate is True:
             return df
@@ -183,8 +184,10 @@ def _check_fields(tree: Node, schema: T.StructType) -> None:
 
 def value_error(error: BaseException) -> ValueError_ | None:
     """The engine's own error, if a job failed because a row's value was refused."""
-    text = str(error)
-    return ValueError_("A value of a row can't be read as its clause needs") if isinstance(error, PySparkException) and RAISED in text else None
+    if not isinstance(error, PySparkException) or RAISED not in str(error):
+        return None
+    told, _ = json.JSONDecoder().raw_decode(str(error).split(RAISED, 1)[1])
+    return ValueError_(f'A value of "{told["field"]}" can\'t be read as a {told["type"]}, as its clause ({told["site"]}) needs', **told)
 
 
 @lru_cache(maxsize=1)

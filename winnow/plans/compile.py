@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.plans import types as V
-from winnow.plans.errors import OperandError, Span
+from winnow.plans.errors import OperandError
 from winnow.plans.limits import deep_recursion
 from winnow.plans.paths import INDEX, Candidate, at_path, leaves
 from winnow.plans.tree import Empty, Field, Group, Literal, Logical, Missing, Node, Range, Regex, Tag, Unary, Wildcard, field_path, operands
@@ -29,8 +29,8 @@ RAISED = "winnow.value:"
 @dataclass
 class Compiled:
     predicate: Column | bool
-    #: True for a row with a value that the strict policy refuses.
-    bad: Column | bool = False
+    #: Conditions under which a row has a value that the strict policy refuses, each with what to tell of it.
+    bad: list[tuple[Column, dict]] = field(default_factory=list)
     hits: Column | None = None
     #: (key, folded column, value) of an equality that a run of ORs may gather.
     equality: tuple[str, Column, str] | None = None
@@ -43,10 +43,6 @@ def closed(predicate: Column | bool) -> Column:
     return F.lit(predicate) if isinstance(predicate, bool) else F.coalesce(predicate, F.lit(False))
 
 
-def _column(predicate: Column | bool) -> Column:
-    return F.lit(predicate) if isinstance(predicate, bool) else predicate
-
-
 def _balanced(parts: list[Column], join: Callable[[Column, Column], Column]) -> Column:
     """A tree of depth log n, whatever the length of the query's spine."""
     while len(parts) > 1:
@@ -120,7 +116,7 @@ class Compiler:
 
     def logical(self, node: Logical, field: Field | None, exact: bool) -> Compiled:
         parts = [self.node(n, field, exact) for n in operands(node)]
-        bad = _any([p.bad for p in parts])
+        bad = [b for p in parts for b in p.bad]
         if node.operator == "AND":
             predicate = _all([p.predicate for p in parts])
             hits = F.when(closed(predicate), F.concat(*[p.hits for p in parts])).otherwise(_no_hits()) if self.highlight else None
@@ -224,8 +220,8 @@ class Compiler:
         self.prepared[name] = column
         return F.col(name)
 
-    def refused(self, field: Field, kind: V.ValueType, operand: object, context: V.Context) -> Column | bool:
-        """Whether any candidate of the path is one that the policy refuses at this site."""
+    def refused(self, field: Field, kind: V.ValueType, operand: object, context: V.Context) -> list[tuple[Column, dict]]:
+        """When any candidate of the path is one that the policy refuses at this site."""
         of = V.VALUE_FAILURE_POLICY[context.site]
 
         def bad(column: Column, column_type: T.DataType) -> Column | None:
@@ -236,16 +232,17 @@ class Compiler:
             invalid = F.lit(False) if reading.invalid is None else F.coalesce(reading.invalid, F.lit(False))
             return invalid | reading.value.isNull() if miss else invalid
 
-        return self.over_bad(field, bad)
+        told = {"code": "VALUE", "field": ".".join(field_path(field)), "type": kind.name, "site": context.site}
+        return [(test, told) for test in self.over_bad(field, bad)]
 
-    def over_bad(self, field: Field, bad) -> Column | bool:
+    def over_bad(self, field: Field, bad) -> list[Column]:
         tests = []
         for c in self.candidates(field, True):
             if bad(F.lit(None).cast(c.kind) if c.many else c.column, c.kind) is None:
                 continue
             failed = _exists(c, bad) if c.many else bad(c.column, c.kind)
             tests.append(F.coalesce(failed if c.guard is None else c.guard & failed, F.lit(False)))
-        return _any(tests)
+        return tests
 
     def range(self, node: Range, field: Field | None, exact: bool) -> Compiled:
         if field is None:
@@ -277,9 +274,11 @@ class Compiler:
         return out
 
 
-def raising(compiled: Compiled, span: Span | None = None) -> Column:
+def raising(compiled: Compiled) -> Column:
     """The predicate of two values, or an error on any row with a refused value, whatever else holds for the row."""
-    if compiled.bad is False:
+    if not compiled.bad:
         return closed(compiled.predicate)
-    message = RAISED + json.dumps({"code": "VALUE"})
-    return F.when(_column(compiled.bad), F.raise_error(F.lit(message)).cast("boolean")).otherwise(closed(compiled.predicate))
+    out = F
+    for test, told in compiled.bad:
+        out = out.when(test, F.raise_error(F.lit(RAISED + json.dumps(told))).cast("boolean"))
+    return out.otherwise(closed(compiled.predicate))
