@@ -120,6 +120,20 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert found >= 0.9 * 20 * len(want)
 
 
+def test_short_lists_are_topped_up(spark):
+    """Groups of equal vectors are lists of their own: small ones hold fewer than 20, and one holds a query's own rows alone."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(26, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = [i for i in range(20) for _ in range(100)] + [i for i in range(20, 24) for _ in range(5)] + [24]
+    rows = [(i, [float(np.float32(v)) for v in x[g]], int(g >= 20), 0.0) for i, g in enumerate(group)]
+    rows += [(9000, [float(np.float32(v)) for v in x[25]], int(i == 0), 0.0) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double")
+    assert ann.fit(vectors.select("vec_id", "embedding"), len(rows)).probes < 20
+    got = Counter(r.query_id for r in ann.search(vectors, F.col("label") == 1).collect())
+    assert got == {**{i: 20 for i, g in enumerate(group) if g >= 20}, 9000: 20}
+
+
 def test_few_vectors(spark):
     two = _vectors(spark, [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0])])
     assert [tuple(r) for r in ann.search(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 14.0)]

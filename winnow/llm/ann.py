@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
 Every vector is stored in the list of its nearest centroid, its residual as one byte a subspace. A query probes its
-best lists. In a block of a list, asymmetric distance tables give an estimate for each code, and the best estimates
-are ranked again by the exact inner product of the original vectors in double precision.
+best lists: as many as were found to hold enough of the neighbours, and more until they hold ``k`` other vectors. In a
+block of a list, asymmetric distance tables give an estimate for each code, and the best estimates are ranked again by
+the exact inner product of the original vectors in double precision.
 
 Lists are cut into blocks of at most about ``BLOCK`` vectors and each list's queries into blocks too, so that a list
 that holds a third of all vectors is many small pairs of blocks. Equal vectors get equal estimates; ties go to the
@@ -54,9 +55,16 @@ class Index:
         residual = self.split(x - self.centroids[lists])
         return np.stack([nearest(residual[:, s], self.codebooks[s]) for s in range(len(self.codebooks))], axis=1).astype(np.uint8)
 
-    def route(self, q: np.ndarray) -> np.ndarray:
-        """The lists that each query probes: those whose centroids have the largest inner products."""
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def route(self, q: np.ndarray, held: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that each query probes, as (row of ``q``, list): those whose centroids have the largest inner products.
+
+        Each query takes ``probes`` lists, and further ones until they hold its ``least`` vectors; ``held`` is the
+        number of vectors in each list.
+        """
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        enough = 1 + (np.cumsum(held[order], axis=1) < least[:, None]).sum(axis=1)
+        taken = np.arange(order.shape[1])[None, :] < np.maximum(enough, self.probes)[:, None]
+        return np.nonzero(taken)[0], order[taken].astype(np.int32)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query the inner product with each code of each subspace."""
@@ -140,7 +148,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
 
     ``vectors`` has vec_id and embedding. Rows whose vec_id is null, or whose vector is null, zero, not finite or of
     another length than most take no part. Repeated rows are candidates as often as they come, but a vec_id is never its
-    own. Ties go to the smaller vec_id.
+    own. Ties go to the smaller vec_id. A row gets fewer than ``k`` only if there are fewer other vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
@@ -161,16 +169,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
 
     stored = map_batches(rows.select("vec_id", "embedding"), store, "vec_id long, list int, codes binary, embedding array<double>")
 
+    # One row a list: as many as there are centroids.
+    sizes = {r["list"]: (r["n"], 0) for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    held = np.array([sizes.get(i, (0, 0))[0] for i in range(len(shared.value.centroids))], np.int64)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists = shared.value.route(_matrix(batch.column(1), np.float32))
-                at = np.repeat(np.arange(len(lists)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(lists.ravel(), pa.int32()), batch.column(1).take(pa.array(at))], names=["query_id", "list", "query"])
+                at, lists = shared.value.route(_matrix(batch.column(1), np.float32), held, k + batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(lists, pa.int32()), batch.column(1).take(pa.array(at))], names=["query_id", "list", "query"])
 
-    asked = map_batches(rows.where(F.coalesce("asks", F.lit(False))).select("vec_id", "embedding"), route, "query_id long, list int, query array<double>")
-    # One row a list: as many as there are centroids.
-    sizes = {r["list"]: (r["n"], 0) for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    # A query's own rows, which aren't candidates, may be several.
+    own = rows.groupBy("vec_id").agg(F.count("*").alias("own")).where(F.col("own") > 1)
+    asks = rows.where(F.coalesce("asks", F.lit(False))).join(own, "vec_id", "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = map_batches(asks, route, "query_id long, list int, query array<double>")
     for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = (sizes.get(r["list"], (0, 0))[0], r["n"])
     cuts = spark.createDataFrame([(i, max(1, -(-a // BLOCK)), max(1, -(-b // QUERY_BLOCK))) for i, (a, b) in sizes.items()], "list int, n_blocks int, n_query_blocks int")
@@ -186,11 +198,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
         ids, x = have["vec_id"].to_numpy(), _matrix(have["embedding"].combine_chunks())
         codes = np.frombuffer(b"".join(have["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
         who, q = ask["query_id"].to_numpy(), _matrix(ask["query"].combine_chunks())
-        keep, out = min(len(ids), k + 1), ([], [], [])  # one more, as the query's own may be there
+        out = ([], [], [])
         slack = MARGIN * shared.value.error * np.linalg.norm(q, axis=1)
         for low in range(0, len(who), 64):
             tables = shared.value.tables(q[low : low + 64].astype(np.float32))
             about = sum(tables[:, s, codes[:, s]] for s in range(codes.shape[1]))  # the list's own centroid adds a constant
+            asking = who[low : low + 64]
+            first, last = np.searchsorted(ids, asking, "left"), np.searchsorted(ids, asking, "right")
+            for i in np.flatnonzero(first < last):  # a query's own rows don't count among the best
+                about[i, first[i] : last[i]] = -np.inf
+            keep = min(len(ids), k)
             bound = np.partition(about, len(ids) - keep, axis=1)[:, len(ids) - keep] - slack[low : low + 64]
             for i in range(len(about)):
                 near = np.flatnonzero(about[i] >= bound[i])
