@@ -156,6 +156,15 @@ def test_license_places(spark):
     assert licenses.scan(brute.documents(spark, [])).count() == 0
 
 
+def test_key_phrases_are_found_without_the_rest_of_their_templates(spark):
+    """Each key phrase alone, and with the template's words around it, in a corpus that lacks most licence words."""
+    keys = {t.label: " ".join(t.words[slice(*t.key)]) for t in licenses.TEMPLATES}
+    for label, key in keys.items():
+        texts = [(1, f"some words {key} and more"), (2, key.upper()), (3, key), (4, key.rsplit(" ", 1)[0]), (5, f"{key} {key}")]
+        got = {r.doc_id: label in r.labels.split(",") for r in licenses.scan(brute.documents(spark, texts)).collect()}
+        assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
 # Chat
 
 

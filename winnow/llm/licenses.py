@@ -1,10 +1,10 @@
 """Licence scanning with a positional index of rare licence words.
 
 Templates are word sequences. How rare a licence word is, is counted over all documents. Each template is indexed
-by its rarest words with their positions. A document's occurrences of those words propose where a template may
-start; proposals of several words meet at the same start (their relative positions agree), and a proposal counts
-when the template's mandatory key phrase stands there word for word. A base phrase is its own key phrase, so
-every place of it is found, whichever of its words is the rarest.
+by the rarest word of its mandatory key phrase (a base phrase is its own), with its position. A document's
+occurrences of that word propose where a template may start, and a proposal counts when the key phrase stands there
+word for word. The phrase can't stand anywhere without that word, so every place of it is found, whichever of its
+words is the rarest and whatever else of the template is there.
 """
 
 from __future__ import annotations
@@ -58,8 +58,6 @@ TEMPLATES = (
     _text("cc-by", "creative commons attribution", "licensed under a creative commons attribution 4 0 international license"),
     _text("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
 )
-#: Rarest words of a longer template by which it is looked up; this many must propose the same start.
-ANCHORS, AGREE = 4, 2
 
 
 class Vocabulary:
@@ -111,24 +109,21 @@ def inverse_frequencies(n_docs: int, counts: dict[str, int]) -> dict[str, float]
 
 
 class Index:
-    """The postings of the anchors: (licence word, template, position in it), by word."""
+    """Each template's words as numbers, and its anchor: the position of the rarest word of its key phrase."""
 
     def __init__(self, templates: tuple[Template, ...], idf: dict[str, float]):
         self.templates, self.vocabulary = templates, Vocabulary(templates)
         self.numbers = [np.array([self.vocabulary.number[w] for w in t.words]) for t in templates]
-        rarest = lambda t: sorted(range(len(t.words)), key=lambda i: (-idf.get(t.words[i], float("inf")), i))
-        self.anchors = [rarest(t)[: 1 if t.base else ANCHORS] for t in templates]
+        # A word that no document holds is the rarest: its key phrase stands nowhere.
+        self.anchors = [min(range(*t.key), key=lambda i: (-idf.get(t.words[i], float("inf")), i)) for t in templates]
 
     def starts(self, number: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
-        """Word positions at which template ``k`` stands: proposed by its anchors, verified by its key phrase.
+        """Word positions at which template ``k`` stands: proposed by its anchor, verified by its key phrase.
 
         A start may lie before the document's first word or after its last if only the key phrase is inside.
         """
-        t, own = self.templates[k], self.numbers[k]
-        proposed = np.concatenate([np.flatnonzero(number == own[i]) - i for i in self.anchors[k]])
-        start, votes = np.unique(proposed, return_counts=True)
-        start = start[votes >= (1 if t.base else AGREE)]
-        low, high = t.key
+        own, (low, high) = self.numbers[k], self.templates[k].key
+        start = np.flatnonzero(number == own[self.anchors[k]]) - self.anchors[k]
         start = start[(start + low >= 0) & (start + high <= len(number))]
         for i in range(low, high):
             start = start[number[start + i] == own[i]]
