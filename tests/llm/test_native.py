@@ -38,6 +38,18 @@ def test_decontamination_cuts_passages_and_drops_documents(spark):
     assert decontam.decontaminate(docs, _items(spark)).columns == docs.columns
 
 
+def test_rows_of_one_doc_id_have_verdicts_of_their_own(spark):
+    """Rows without an id, or with a repeated one, lose what their own texts hold and nothing else."""
+    passages = [" ".join(f"bench{i}" for i in range(low, low + 14)) for low in (0, 15)]
+    words = " ".join(f"own{i}" for i in range(1000))
+    texts = [passages[0], words, f"{passages[0]} {words}", f"{words} {passages[1]}", f"{passages[1]} {passages[0]} {words} {passages[0]}", None, ""]
+    want = sorted([words, words, words, words, words, "", "None"])
+    docs = brute.documents(spark, [(i, t) for i in (None, 50) for t in [*texts, texts[1]]])
+    rows = decontam.decontaminate(docs, _items(spark)).collect()
+    for i in (None, 50):
+        assert sorted(str(r.text).strip() for r in rows if r.doc_id == i) == want
+
+
 def test_a_large_benchmark_is_broadcast_in_blocks(spark, monkeypatch):
     docs, items = brute.documents(spark, _texts()), _items(spark)
     whole = sorted(map(str, decontam.report(docs, items).collect()))

@@ -38,20 +38,20 @@ def benchmark_grams(benchmark: DataFrame, n: int = 13) -> DataFrame:
     return grams.groupBy("n", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, spans (sorted [start, end) word ranges of the windows found), items."""
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, the columns ``carry``, n_words, spans (sorted [start, end) word ranges of the windows found), items."""
     grams = written(benchmark_grams(benchmark, n), "grams")
     sizes = sorted((r["n"], r["count"]) for r in grams.groupBy("n").count().collect())  # n rows at most
     blocks = max(1, -(-sum(c for _, c in sizes) // MAX_BROADCAST_GRAMS))
     lengths = [k for k, _ in sizes] or [n]
-    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.coalesce("text", F.lit(""))).alias("words"))
+    texts = docs.select("doc_id", *carry, F.monotonically_increasing_id().alias("row"), words(F.coalesce("text", F.lit(""))).alias("words"))
     # The null at the end is a row that always passes: it carries n_words.
-    rows = texts.select("doc_id", "row", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+    rows = texts.select("doc_id", *carry, "row", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
     if len(lengths) == 1:
-        probes = rows.select("doc_id", "row", "words", "pos", F.lit(lengths[0]).alias("len"), _gram_hash(F.col("words"), F.col("pos"), lengths[0]).alias("hash"))
+        probes = rows.select("doc_id", *carry, "row", "words", "pos", F.lit(lengths[0]).alias("len"), _gram_hash(F.col("words"), F.col("pos"), lengths[0]).alias("hash"))
     else:
         each = F.array(*[F.struct(F.lit(k).alias("len"), _gram_hash(F.col("words"), F.col("pos"), k).alias("hash")) for k in lengths])
-        probes = rows.select("doc_id", "row", "words", "pos", F.explode(each).alias("p")).select("doc_id", "row", "words", "pos", "p.len", "p.hash")
+        probes = rows.select("doc_id", *carry, "row", "words", "pos", F.explode(each).alias("p")).select("doc_id", *carry, "row", "words", "pos", "p.len", "p.hash")
     table = grams.select(F.col("n").alias("g_len"), "gram", "items")
     table = table.select("g_len", "gram", "items", reduce(lambda done, k: F.when(F.col("g_len") == k, _gram_hash(F.col("gram"), F.lit(0), k)).otherwise(done), lengths, F.lit(None).cast("long")).alias("g_hash"))
     found = []
@@ -60,8 +60,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         same = (F.col("hash") == F.col("g_hash")) & (F.col("len") == F.col("g_len")) & (F.slice("words", F.col("pos") + 1, F.col("len")) == F.col("gram"))
         last = F.col("pos") == F.size("words")
         joined = probes.join(F.broadcast(part), same, "left").where(last | F.col("gram").isNotNull())
-        found.append(joined.select("doc_id", "row", F.when(last, F.col("pos")).alias("n_words"), F.when(F.col("gram").isNotNull(), F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))).alias("span"), "items"))
-    merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", "row")
+        found.append(joined.select("doc_id", *carry, "row", F.when(last, F.col("pos")).alias("n_words"), F.when(F.col("gram").isNotNull(), F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))).alias("span"), "items"))
+    merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", *carry, "row")
     return merged.agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set("span")).alias("spans"),
@@ -76,14 +76,14 @@ def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans.
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, ``carry``, n_words, n_hit, n_items, items_sha256, contaminated, and the spans.
 
     A null text has no words; a repeated row is reported as often as it comes; a null doc_id is a document too.
     """
-    counted = hits(docs, benchmark, n).withColumn("n_hit", n_hit(F.col("spans")))
+    counted = hits(docs, benchmark, n, carry).withColumn("n_hit", n_hit(F.col("spans")))
     return counted.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "doc_id", *carry, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans",
     )
 
@@ -103,11 +103,14 @@ def _cased(pattern: str) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """``docs`` without contaminated documents, and without the benchmark passages of the others.
 
-    Rows keep their columns; a document without hits keeps its text untouched. Repeated rows of a doc_id share
-    the verdict of the doc_id, which is contaminated if one of them is.
+    Rows keep their columns; a document without hits keeps its text untouched. Each row has the verdict and the
+    passages of its own text, also where several rows share a doc_id or have none.
     """
-    found = report(docs, benchmark, n).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("contaminated").alias("__bad"), F.max("spans").alias("__spans"))
-    marks = written(found, "contaminated").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(marks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    # Both follow from the text alone, so rows of one doc_id and text share them.
+    docs, columns = docs.withColumn("__text", F.sha2("text", 256)), docs.columns
+    found = report(docs, benchmark, n, ("__text",)).where(F.size("spans") > 0)
+    marks = written(found.groupBy("doc_id", "__text").agg(F.max("contaminated").alias("__bad"), F.max("spans").alias("__spans")), "contaminated")
+    marks = marks.withColumnsRenamed({"doc_id": "__id", "__text": "__own"})
+    joined = docs.join(marks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__own")), "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col("__spans")))
-    return joined.where(~F.coalesce("__bad", F.lit(False))).withColumn("text", text).drop("__id", "__bad", "__spans")
+    return joined.where(~F.coalesce("__bad", F.lit(False))).withColumn("text", text).select(*columns)
