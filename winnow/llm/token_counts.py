@@ -1,7 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact hash table of the lengths of frequent pre-tokens. Which are frequent is counted over all
-texts: a task sends its most frequent ones, with counts, and never its pre-tokens. The table has a fixed number of
+Tier one is a compact hash table of the lengths of frequent pre-tokens. Which are frequent is approximated over all
+texts: a task counts those that come OFTEN in a block, prunes its counter when it grows beyond 16 times PROPOSED, and
+sends its PROPOSED most frequent ones, with counts, and never its pre-tokens. The table has a fixed number of
 slots and is broadcast. What it doesn't hold is looked up in the worker's cache, and encoded by the library the
 first time. Both tiers only spare calls of the library: the counts are its own whatever they hold.
 """
@@ -54,7 +55,7 @@ class Table:
 
 
 def frequent_pretokens(texts: DataFrame) -> list[str]:
-    """The most frequent pre-tokens of all texts, FREQUENT at most; each task proposes its own most frequent ones."""
+    """About the most frequent pre-tokens of all texts, FREQUENT at most; each task proposes those it found OFTEN in blocks."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
