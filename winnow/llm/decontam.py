@@ -2,8 +2,9 @@
 
 Each document's words are exploded inside one generated stage; a row's n-gram hash probes the broadcast table of
 benchmark n-grams, and the words themselves are compared on a hit. Neither words nor n-grams are shuffled: what
-leaves the stage is one row a document and one a hit. The table is broadcast in blocks of at most
-``MAX_BROADCAST_GRAMS`` n-grams, one scan a block, so its size is bounded however large the benchmark is.
+leaves the stage is one row a document and one a hit. The table is broadcast in blocks bounded in n-grams and in
+bytes, one scan a block. It names the items that hold an n-gram by a key of their set; the sets are a table of their
+own, which only documents with hits are joined with.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import ALNUM_WORD, ascii_lower, written
+from winnow.llm.shared import ALNUM_WORD, ascii_lower, fresh, text_keys, written
 
-#: Of n-grams in one broadcast: at some 200 bytes each, 200 MB.
-MAX_BROADCAST_GRAMS = 1_000_000
+#: Of n-grams in one broadcast, and of the bytes of their words with what a row takes beside them.
+MAX_BROADCAST_GRAMS, MAX_BROADCAST_BYTES, ROW_BYTES = 1_000_000, 1 << 28, 64
+#: Copies of one row that are made at a time.
+COPIES = 4096
 
 
 def words(text: Column) -> Column:
@@ -28,45 +31,66 @@ def _gram_hash(array: Column, at: Column, n: int) -> Column:
 
 
 def benchmark_grams(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """(n, gram, items): the distinct windows of the benchmark, with the items that hold each.
+    """(n, gram, items, s1, s2): the distinct windows of the benchmark, the items that hold each, and a key of that set.
 
     An item of fewer than ``n`` words is one window; one without words, or with a null text, has none.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(n))
     grams = items.select("item", size.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("gram"))
-    return grams.groupBy("n", "gram").agg(F.collect_set("item").alias("items"))
+    held = grams.groupBy("n", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return held.select("n", "gram", "items", F.xxhash64("items").alias("s1"), F.xxhash64(F.lit(7), "items").alias("s2"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, the columns ``carry``, n_words, spans (sorted [start, end) word ranges of the windows found), items."""
+def scanned(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> tuple[DataFrame, DataFrame]:
+    """What is found in ``docs``, and the item sets (s1, s2, items) that it names.
+
+    Found: per distinct doc_id and text, with the text's keys h1 and h2, the number of such rows (copies), n_words,
+    spans (sorted [start, end) word ranges of the windows found) and sets (the keys of the item sets found). Rows that
+    agree in doc_id and text have the same words, so no row needs a number of its own.
+    """
     grams = written(benchmark_grams(benchmark, n), "grams")
-    sizes = sorted((r["n"], r["count"]) for r in grams.groupBy("n").count().collect())  # n rows at most
-    blocks = max(1, -(-sum(c for _, c in sizes) // MAX_BROADCAST_GRAMS))
-    lengths = [k for k, _ in sizes] or [n]
-    texts = docs.select("doc_id", *carry, F.monotonically_increasing_id().alias("row"), words(F.coalesce("text", F.lit(""))).alias("words"))
+    sizes = grams.groupBy("n").agg(F.count("*").alias("count"), F.sum(F.octet_length(F.array_join("gram", " ")) + ROW_BYTES).alias("bytes")).orderBy("n").collect()  # n rows at most
+    blocks = max(1, -(-sum(r["count"] for r in sizes) // MAX_BROADCAST_GRAMS), -(-sum(r["bytes"] for r in sizes) // MAX_BROADCAST_BYTES))
+    lengths = [r["n"] for r in sizes] or [n]
+    h1, h2 = text_keys(F.col("text"))
+    texts = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), words(F.coalesce("text", F.lit(""))).alias("words"))
     # The null at the end is a row that always passes: it carries n_words.
-    rows = texts.select("doc_id", *carry, "row", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+    rows = texts.select("doc_id", "h1", "h2", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
     if len(lengths) == 1:
-        probes = rows.select("doc_id", *carry, "row", "words", "pos", F.lit(lengths[0]).alias("len"), _gram_hash(F.col("words"), F.col("pos"), lengths[0]).alias("hash"))
+        probes = rows.select("doc_id", "h1", "h2", "words", "pos", F.lit(lengths[0]).alias("len"), _gram_hash(F.col("words"), F.col("pos"), lengths[0]).alias("hash"))
     else:
         each = F.array(*[F.struct(F.lit(k).alias("len"), _gram_hash(F.col("words"), F.col("pos"), k).alias("hash")) for k in lengths])
-        probes = rows.select("doc_id", *carry, "row", "words", "pos", F.explode(each).alias("p")).select("doc_id", *carry, "row", "words", "pos", "p.len", "p.hash")
-    table = grams.select(F.col("n").alias("g_len"), "gram", "items")
-    table = table.select("g_len", "gram", "items", reduce(lambda done, k: F.when(F.col("g_len") == k, _gram_hash(F.col("gram"), F.lit(0), k)).otherwise(done), lengths, F.lit(None).cast("long")).alias("g_hash"))
+        probes = rows.select("doc_id", "h1", "h2", "words", "pos", F.explode(each).alias("p")).select("doc_id", "h1", "h2", "words", "pos", "p.len", "p.hash")
+    # The null row comes once for each length, and counts once.
+    last = (F.col("pos") == F.size("words")) & (F.col("len") == lengths[0])
+    table = grams.select(F.col("n").alias("g_len"), "gram", "s1", "s2", reduce(lambda done, k: F.when(F.col("n") == k, _gram_hash(F.col("gram"), F.lit(0), k)).otherwise(done), lengths, F.lit(None).cast("long")).alias("g_hash"))
     found = []
     for b in range(blocks):
         part = table if blocks == 1 else table.where(F.pmod("g_hash", F.lit(blocks)) == b)
         same = (F.col("hash") == F.col("g_hash")) & (F.col("len") == F.col("g_len")) & (F.slice("words", F.col("pos") + 1, F.col("len")) == F.col("gram"))
-        last = F.col("pos") == F.size("words")
-        joined = probes.join(F.broadcast(part), same, "left").where(last | F.col("gram").isNotNull())
-        found.append(joined.select("doc_id", *carry, "row", F.when(last, F.col("pos")).alias("n_words"), F.when(F.col("gram").isNotNull(), F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))).alias("span"), "items"))
-    merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", *carry, "row")
-    return merged.agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    ).drop("row")
+        hit = F.col("gram").isNotNull()
+        joined = probes.join(F.broadcast(part), same, "left").where(last | hit if b == 0 else hit)
+        n_words = F.when(last, F.col("pos")) if b == 0 else F.lit(None).cast("int")
+        found.append(joined.select("doc_id", "h1", "h2", n_words.alias("n_words"), F.when(hit, F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))).alias("span"), F.when(hit, F.struct("s1", "s2")).alias("set")))
+    merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", "h1", "h2").agg(
+        F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"),
+        F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("set").alias("sets"),
+    )
+    return merged, grams.groupBy("s1", "s2").agg(F.first("items").alias("items"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, spans and items, the ids of the items found, sorted as strings."""
+    found, sets = scanned(docs, benchmark, n)
+    found = written(found, "found")
+    none = found.where(F.size("sets") == 0).select("doc_id", "copies", "n_words", "spans", F.array().cast("array<string>").alias("items"))
+    named = found.where(F.size("sets") > 0).select("doc_id", "h1", "h2", "copies", "n_words", "spans", F.explode("sets").alias("set")).select("*", "set.s1", "set.s2").join(sets, ["s1", "s2"])
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    some = named.groupBy("doc_id", "h1", "h2").agg(*[F.first(c).alias(c) for c in ("copies", "n_words", "spans")], items).drop("h1", "h2")
+    each = none.unionByName(some).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    repeated = F.array_repeat(F.lit(True), F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("low")).cast("int"))
+    return each.withColumn("row", F.explode(repeated)).select("doc_id", "n_words", "spans", "items")
 
 
 def n_hit(spans: Column) -> Column:
@@ -76,15 +100,20 @@ def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, ``carry``, n_words, n_hit, n_items, items_sha256, contaminated, and the spans.
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans.
 
-    A null text has no words; a repeated row is reported as often as it comes; a null doc_id is a document too.
+    A null text has no words; a repeated row is reported as often as it comes; a null doc_id is a document too. An
+    empty benchmark hits nothing, and no documents give no rows.
     """
-    counted = hits(docs, benchmark, n, carry).withColumn("n_hit", n_hit(F.col("spans")))
+    counted = hits(docs, benchmark, n).withColumn("n_hit", n_hit(F.col("spans")))
     return counted.select(
-        "doc_id", *carry, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans",
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        _contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "spans",
     )
 
 
@@ -103,14 +132,15 @@ def _cased(pattern: str) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """``docs`` without contaminated documents, and without the benchmark passages of the others.
 
-    Rows keep their columns; a document without hits keeps its text untouched. Each row has the verdict and the
-    passages of its own text, also where several rows share a doc_id or have none.
+    Rows keep their columns, whatever these are called; a document without hits keeps its text untouched. Each row has
+    the verdict and the passages of its own text, also where several rows share a doc_id or have none. Null and empty
+    texts stay as they are.
     """
-    # Both follow from the text alone, so rows of one doc_id and text share them.
-    docs, columns = docs.withColumn("__text", F.sha2("text", 256)), docs.columns
-    found = report(docs, benchmark, n, ("__text",)).where(F.size("spans") > 0)
-    marks = written(found.groupBy("doc_id", "__text").agg(F.max("contaminated").alias("__bad"), F.max("spans").alias("__spans")), "contaminated")
-    marks = marks.withColumnsRenamed({"doc_id": "__id", "__text": "__own"})
-    joined = docs.join(marks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__own")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col("__spans")))
-    return joined.where(~F.coalesce("__bad", F.lit(False))).withColumn("text", text).select(*columns)
+    k1, k2, m1, m2, key, bad, spans = fresh(docs.columns, "h1", "h2", "own_h1", "own_h2", "own_id", "bad", "spans")
+    found = scanned(docs, benchmark, n)[0].where(F.size("spans") > 0)
+    marks = written(found.select(F.col("doc_id").alias(key), F.col("h1").alias(m1), F.col("h2").alias(m2), _contaminated(n_hit(F.col("spans")), F.col("n_words")).alias(bad), F.col("spans").alias(spans)), "marks")
+    keyed = docs.withColumns(dict(zip((k1, k2), text_keys(F.col("text")), strict=True)))
+    same = (F.col(k1) == F.col(m1)) & (F.col(k2) == F.col(m2)) & F.col("doc_id").eqNullSafe(F.col(key))
+    joined = keyed.join(marks.hint("shuffle_hash"), same, "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col(spans)))
+    return joined.where(~F.coalesce(bad, F.lit(False))).withColumn("text", text).select(*docs.columns)

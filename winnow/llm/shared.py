@@ -1,4 +1,4 @@
-"""What several operators share: the shared scratch folder and the ASCII-only lower-casing of contracts."""
+"""What several operators share: tables in the scratch folder, free column names, samples, Arrow batches and the lower-casing of contracts."""
 
 from __future__ import annotations
 
@@ -46,6 +46,56 @@ def clear_scratch(spark: SparkSession) -> int:
     return n
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever operators write inside ``with scratch(spark):`` is deleted at its end, also after an error.
+
+    Write or count what they return inside, since it reads those tables.
+    """
+    before = _tables[:]
+    _tables.clear()
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
+        _tables.extend(before)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """For each of ``names`` one like it that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits of a text, a null one as empty, in two columns. (A leading constant gives a second, independent hash.)"""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole), F.xxhash64(F.lit(7), whole)]
+
+
+def salt_of_nulls(key: Column, text: Column) -> Column:
+    """0, but for a null key a hash of its row's text: rows without a key then don't meet in one task of a join."""
+    return F.when(key.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
+def drawn_by_hash(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """``size`` of ``total`` rows, those with the smallest hashes of ``key``, the same ones each time.
+
+    A bound on the hash leaves about ``size`` rows before they are sorted, so no task sorts more, however many rows
+    there are: so many more that fewer than ``size`` pass once in 10**9 draws.
+    """
+    hashed = F.xxhash64(key)
+    if total > size:
+        share = (size + 6 * size**0.5 + 36) / total
+        rows = rows.where(hashed <= int(-(2**63) + min(share, 1.0) * (2**64 - 1025)))
+    return rows.orderBy(hashed, key).limit(size)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; ``lower`` has a fast path for the many texts that are pure ASCII."""
     plain = F.octet_length(text) == F.length(text)
@@ -59,7 +109,7 @@ BATCH_ROWS = 1000
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to BATCH_ROWS, unless the user has set a size of their own.
 
-    The setting counts when a plan runs, which is after an operator has returned it, so it stays.
+    The setting counts when a plan runs, which is after an operator has returned it, so it stays (see the README).
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":  # Spark's default
