@@ -1,15 +1,15 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact hash table of the lengths of frequent pre-tokens. Which are frequent is approximated over all
-texts: a task counts those that come OFTEN in a block, prunes its counter when it grows beyond 16 times PROPOSED, and
-sends its PROPOSED most frequent ones, with counts, and never its pre-tokens. The table has a fixed number of
-slots and is broadcast. What it doesn't hold is looked up in the worker's cache, and encoded by the library the
-first time. Both tiers only spare calls of the library: the counts are its own whatever they hold.
+Tier one is a compact hash table of the lengths of frequent pre-tokens, broadcast: those that a byte-pair vocabulary
+holds whole. Its merges were made in order of frequency, so they are the frequent ones of the corpus that it comes
+from; the table's size is that of the vocabulary, whatever the texts. What the table doesn't hold is looked up in the
+worker's cache, and encoded by the library the first time, so what is frequent in these texts alone is encoded once a
+worker. No pre-token, count or text is exchanged, and texts are read once. Both tiers only spare calls of the library:
+the counts are its own whatever they hold.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +17,14 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from winnow.llm.pretokens import Split, cache, strings
 from winnow.llm.shared import map_batches
 from winnow.llm.textscan import blocks
 
-#: Pre-tokens in the broadcast table, slots for them, and how many each task proposes.
-FREQUENT, SLOTS, PROPOSED = 1 << 16, 1 << 18, 1 << 12
-#: A pre-token is proposed only if it comes so often in a block.
-OFTEN = 8
+#: Pre-tokens in the broadcast table, and slots for them: 2.6 MB.
+FREQUENT, SLOTS = 1 << 17, 1 << 18
 
 
 class Table:
@@ -54,24 +52,17 @@ class Table:
         return out
 
 
-def frequent_pretokens(texts: DataFrame) -> list[str]:
-    """About the most frequent pre-tokens of all texts, FREQUENT at most; each task proposes those it found OFTEN in blocks."""
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for part in blocks(batch):
-                split = Split(strings(part.column(0)), True)
-                _, at, n = np.unique(split.hashes(), return_index=True, return_counts=True)
-                for i, k in zip(at[n >= OFTEN].tolist(), n[n >= OFTEN].tolist(), strict=True):
-                    seen[split.joined[split.start[i] : split.end[i]]] += k
-                if len(seen) > 16 * PROPOSED:
-                    seen = Counter(dict(seen.most_common(8 * PROPOSED)))
-        top = seen.most_common(PROPOSED)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([k for _, k in top], pa.int64())], names=["word", "n"])
-
-    rows = map_batches(texts.select("text"), propose, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in rows.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+def frequent_pretokens(path: str) -> list[str]:
+    """The pre-tokens that the vocabulary of the tokenizer file holds whole, the first FREQUENT of them."""
+    library = Tokenizer.from_file(path)
+    out = []
+    for i in range(library.get_vocab_size(with_added_tokens=False)):
+        text = library.decode([i], skip_special_tokens=False)
+        if text and "\ufffd" not in text:  # else the entry is a part of a character
+            split = Split([text], True)
+            if len(split.start) == 1 and not split.others:
+                out.append(text)
+    return out[:FREQUENT]
 
 
 def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
@@ -80,7 +71,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFra
     A null or empty text has no bytes and no tokens. Repeated rows are counted as often as they come.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    words = frequent_pretokens(docs)
+    words = frequent_pretokens(path)
     own = cache(path, True)
     # Each hashed as a text of its own: a pre-token is its own only pre-token.
     hashes = np.concatenate([np.zeros(0, np.uint64), *(Split([w], True).hashes() for w in words)])
