@@ -151,7 +151,7 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Bins]:
         bins = _grouped(lengths, counts, capacity, *setting)
         if best is None or sum(b.count for b in bins) < sum(b.count for b in best):
             best = bins
-        if sum(b.count for b in best) <= least + least // 1000:
+        if sum(b.count for b in best) <= least:  # no packing is better
             break
     return best
 

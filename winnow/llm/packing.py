@@ -3,7 +3,7 @@
 Documents are tokenized on the map side, once; only pieces (ids, lengths, places) are kept. The packing itself is
 planned on the histogram of lengths, whose size is the capacity, by linear grouping (see ``grouping``). Each piece
 then looks up its place by its rank among the pieces of its length. Ranks come from counts by block and length, so
-no length's pieces ever meet in one task.
+no length's pieces ever meet in one task; while these counts are few, the pieces themselves aren't exchanged.
 """
 
 from __future__ import annotations
@@ -91,7 +91,9 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = Non
     plan = spark.sparkContext.broadcast(places(pack(lengths, counts, capacity)) if histogram else {})
     by_block = table.groupBy("block", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_block.select("block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("base"))
+    # Written, so that their size is known before the join is planned: Spark broadcasts them while they are small
+    # (spark.sql.autoBroadcastJoinThreshold) and the pieces stay where they are; beyond that both sides are exchanged.
+    bases = written(by_block.select("block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("base")), "bases")
     ranked = table.join(bases, ["block", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("block", "nth", "base")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
