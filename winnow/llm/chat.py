@@ -1,10 +1,10 @@
 """Chat formatting by columnar byte assembly.
 
-Rows are brought together by conversation and sorted by turn; a task streams over them. For each Arrow batch the
+Rows are brought together by conversation and sorted by turn; a task streams over them. For each block of rows the
 lengths of all segments (header, content, end of turn) give their offsets by one cumulative sum, and numpy scatters
-headers and contents into one preallocated buffer, over which the output's Arrow strings are laid. A conversation
-that goes on in the next batch is carried as its formatted bytes only when texts are asked for; a digest carries
-hash states and counts.
+headers and contents into one preallocated buffer. The output's Arrow strings are laid over that buffer: an offset
+for each run of one conversation, and no copy. A conversation that a block's end cuts is gathered run by run and
+joined once, when it is complete; a digest of it carries hash states and counts instead.
 
 The template: ``<|im_start|>`` role, line feed, content, ``<|im_end|>``, line feed. Inside roles and contents each
 backslash is doubled and ``<|`` is written ``<\\|`` (in roles a line feed is written ``\\n`` too), so a control
@@ -88,32 +88,75 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Assembled, list[
             yield assemble(part.column(1), part.column(2)), [(ids[a], a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def strings(built: Assembled, runs: list[tuple[int | None, int, int]]) -> pa.LargeStringArray:
+    """The formatted text of each run, laid over the block's buffer."""
+    at = built.at[[runs[0][1], *(b for _, _, b in runs)]].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(runs), pa.py_buffer(at), pa.py_buffer(built.data))
+
+
+def masks(built: Assembled, runs: list[tuple[int | None, int, int]]) -> pa.ListArray:
+    """The [start, end) byte ranges under the loss mask of each run, from the run's first byte."""
+    turn = np.flatnonzero(built.learned)
+    cut = np.array([runs[0][1], *(b for _, _, b in runs)])
+    of = np.searchsorted(cut, turn, "right") - 1
+    from_ = built.at[cut[of]]
+    ranges = pa.StructArray.from_arrays([pa.array(built.low[turn] - from_), pa.array(built.high[turn] - from_)], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(turn, cut).astype(np.int32)), ranges)
+
+
+SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.large_string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+@dataclass
+class _Open:
+    """A conversation that the end of a block has cut: its runs so far."""
+
+    conv_id: int | None
+    texts: list[pa.Array] = field(default_factory=list)
+    loss: list[pa.Array] = field(default_factory=list)
+    size: int = 0
+
+    def add(self, text: pa.Array, loss: pa.Array) -> None:
+        self.texts.append(text)
+        start, end = (pc.add(x, self.size) for x in loss.flatten().flatten())
+        self.loss.append(pa.StructArray.from_arrays([start, end], names=["start", "end"]))
+        self.size += pc.binary_length(text)[0].as_py()
+
+    def row(self) -> pa.RecordBatch:
+        data = np.empty(self.size, np.uint8)
+        at = 0
+        for t in self.texts:
+            piece = np.frombuffer(t[0].as_buffer(), np.uint8)
+            data[at : at + len(piece)] = piece
+            at += len(piece)
+        whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, at])), pa.py_buffer(data))
+        ranges = pa.concat_arrays(self.loss)
+        return pa.RecordBatch.from_arrays([pa.array([self.conv_id], pa.int64()), whole, pa.ListArray.from_arrays(pa.array([0, len(ranges)], pa.int32()), ranges)], schema=SCHEMA)
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): each conversation's text and the [start, end) byte ranges under the loss mask."""
+    """(conv_id, formatted, loss): each conversation's text and the [start, end) byte ranges under the loss mask.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(items):
-            names = ["conv_id", "formatted", "loss"]
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*items, strict=True), kinds, strict=True)], names=names)
+    A null conv_id is a conversation too; null roles and texts are empty; no turns give no rows.
+    """
 
-        held: tuple | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Open | None = None
         for built, runs in _parts(batches):
-            done = []
-            for conv, a, b in runs:
-                text = built.data[built.at[a] : built.at[b]].tobytes()
-                loss = [{"start": int(built.low[i] - built.at[a]), "end": int(built.high[i] - built.at[a])} for i in range(a, b) if built.learned[i]]
-                if held and held[0] == conv:
-                    shift = len(held[1])
-                    held = (conv, held[1] + text, held[2] + [{"start": x["start"] + shift, "end": x["end"] + shift} for x in loss])
-                else:
-                    if held:
-                        done.append((held[0], held[1].decode(), held[2]))
-                    held = (conv, text, loss)
-            if done:
-                yield row(done)
+            texts, loss, first = strings(built, runs), masks(built, runs), 0
+            if held and held.conv_id == runs[0][0]:
+                held.add(texts[:1], loss[:1])
+                first = 1
+            last = len(runs) - 1  # may go on in the next block
+            if last >= first:
+                if held:
+                    yield held.row()
+                if last > first:
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in runs[first:last]], pa.int64()), texts[first:last], loss[first:last]], schema=SCHEMA)
+                held = _Open(runs[last][0])
+                held.add(texts[last:], loss[last:])
         if held:
-            yield row([(held[0], held[1].decode(), held[2])])
+            yield held.row()
 
     return map_batches(gathered(turns), run, "conv_id long, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
@@ -155,20 +198,24 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def report(turns: DataFrame) -> DataFrame:
-    """One row a conversation, read back from the assembled bytes; memory follows the batch, not the conversation."""
+    """One row a conversation, read back from the output's strings and masks; memory follows the block, not the conversation.
+
+    Nulls, repeated rows and empty tables are as in :func:`format_conversations`.
+    """
     names = [c.split()[0] for c in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Digest | None = None
         for built, runs in _parts(batches):
             done = []
-            for conv, a, b in runs:
+            texts, loss = strings(built, runs), masks(built, runs)
+            for i, (conv, _, _) in enumerate(runs):
                 if held is None or held.conv_id != conv:
                     if held:
                         done.append(held.row())
                     held = _Digest(conv)
-                masked = [built.data[built.low[i] : built.high[i]].tobytes() for i in range(a, b) if built.learned[i]]
-                held.read(built.data[built.at[a] : built.at[b]].tobytes(), masked)
+                text = texts[i].as_buffer().to_pybytes()
+                held.read(text, [text[x["start"] : x["end"]] for x in loss[i].as_py()])
             if done:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done])
         if held:
