@@ -99,12 +99,18 @@ class Words:
         return mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * _STEP)
 
     def prefix_hashes(self, n: int) -> np.ndarray:
-        """A 64-bit hash of the first ``n`` bytes of each word with A-Z lower-cased; 0 for words that are shorter."""
-        out = np.zeros(len(self.start), np.uint64)
-        long = np.flatnonzero(self.end - self.start >= n)
-        total = np.full(len(long), n, np.uint64) * _STEP
-        for k, p in enumerate(powers(n)):
-            total += _BYTE[LOWER[self.data[self.start[long] + k]]] * p
+        """A 64-bit hash of the first ``n`` code points of each word with A-Z lower-cased; 0 for words that are shorter."""
+        lead = (self.data & 0xC0) != 0x80
+        begin = np.append(np.flatnonzero(lead), len(self.data))
+        place = np.concatenate([[0], np.cumsum(lead)])[self.start] + n
+        stop = begin[np.minimum(place, len(begin) - 1)]
+        long = np.flatnonzero((place < len(begin)) & (stop <= self.end))
+        out, total = np.zeros(len(self.start), np.uint64), np.full(len(long), n, np.uint64) * _STEP
+        live, k = np.arange(len(long)), 0
+        while len(live):  # at most the bytes of n code points
+            total[live] += _BYTE[LOWER[self.data[self.start[long[live]] + k]]] * powers(k + 1)[k]
+            k += 1
+            live = live[self.start[long[live]] + k < stop[long[live]]]
         out[long] = mix(total + np.uint64(1))
         return out
 
