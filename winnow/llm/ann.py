@@ -12,6 +12,7 @@ smaller id at every step.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from winnow.llm.shared import map_batches
+from winnow.llm.shared import drawn_by_hash, map_batches
 
 #: The bounded sample that centroids and codebooks are fitted to, and the most centroids there are.
-SAMPLE, MAX_LISTS = 16384, 1024
+SAMPLE, MAX_LISTS = 16384, 4096
 SUBSPACES, CODES = 16, 256
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: The share of true neighbours, of so many sampled queries among the sample, that must lie in the lists probed.
@@ -119,7 +121,7 @@ def probes_needed(index: Index, x: np.ndarray, k: int, rng: np.random.Generator)
 
 def fit(vectors: DataFrame, n: int, k: int = 20, seed: int = 5) -> Index:
     """An index for ``n`` vectors, fitted to SAMPLE of them at most, the same ones each time."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    rows = drawn_by_hash(vectors, "vec_id", SAMPLE, n).select("embedding").collect()
     x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), -1)
     rng = np.random.default_rng(seed)
     centroids = k_means(x, int(min(MAX_LISTS, max(1, round(n**0.5)))), 10, rng)
@@ -146,17 +148,24 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``queries`` holds, but itself.
 
-    ``vectors`` has vec_id and embedding. Rows whose vec_id is null, or whose vector is null, zero, not finite or of
-    another length than most take no part. Repeated rows are candidates as often as they come, but a vec_id is never its
-    own. Ties go to the smaller vec_id. A row gets fewer than ``k`` only if there are fewer other vectors.
+    ``vectors`` has vec_id and embedding. Rows whose vec_id is null, or whose vector is null, zero or not finite take no
+    part; nor do vectors of another length than most, which have no inner product with these: a warning tells how many.
+    Repeated rows are candidates as often as they come, but a vec_id is never its own, and asks once: by the smallest of
+    its vectors, if they differ. Ties go to the smaller vec_id. A query gets fewer than ``k`` only if there are fewer
+    other vectors; no vectors give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    # Floats stay floats on the way: they are doubles of half the size.
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     result = "query_id long, rank int, vec_id long, score double"
     usual = rows.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
     if not usual:
         return spark.createDataFrame([], result)
     n = usual[0]["count"]
+    odd = rows.where(F.size("embedding") != usual[0]["length"]).count()
+    if odd:
+        warnings.warn(f"{odd} vectors haven't the length of most, {usual[0]['length']}, and take no part", stacklevel=2)
     rows = rows.where(F.size("embedding") == usual[0]["length"])
     shared = spark.sparkContext.broadcast(index or fit(rows, n, k))  # of bounded size: MAX_LISTS centroids
 
@@ -167,7 +176,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
             codes = shared.value.encode(x, own) if len(x) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["vec_id", "list", "codes", "embedding"])
 
-    stored = map_batches(rows.select("vec_id", "embedding"), store, "vec_id long, list int, codes binary, embedding array<double>")
+    stored = map_batches(rows.select("vec_id", "embedding"), store, f"vec_id long, list int, codes binary, embedding {kind}")
 
     # One row a list: as many as there are centroids.
     sizes = {r["list"]: (r["n"], 0) for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -181,8 +190,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, index: Index | None
 
     # A query's own rows, which aren't candidates, may be several.
     own = rows.groupBy("vec_id").agg(F.count("*").alias("own")).where(F.col("own") > 1)
-    asks = rows.where(F.coalesce("asks", F.lit(False))).join(own, "vec_id", "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
-    asked = map_batches(asks, route, "query_id long, list int, query array<double>")
+    asks = rows.where(F.coalesce("asks", F.lit(False))).join(own, "vec_id", "left").groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.coalesce(F.max("own"), F.lit(1)).alias("own"))
+    asked = map_batches(asks, route, f"query_id long, list int, query {kind}")
     for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = (sizes.get(r["list"], (0, 0))[0], r["n"])
     cuts = spark.createDataFrame([(i, max(1, -(-a // BLOCK)), max(1, -(-b // QUERY_BLOCK))) for i, (a, b) in sizes.items()], "list int, n_blocks int, n_query_blocks int")
