@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import hyperminhash as hmh
 from winnow.llm.components import components
-from winnow.llm.shared import map_batches, written
+from winnow.llm.shared import fresh, map_batches, salt_of_nulls, shuffle_partitions, written
 from winnow.llm.textscan import blocks
 
 #: Standard errors of an estimate by which a pair may fall short of the threshold and still be verified.
@@ -122,7 +122,10 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     full = full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")).hint("merge")
-    return map_batches(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b"), compare, "a long, b long")
+    # The centre of a large star is a hot key: its pairs are salted by their other ends, and its set goes to each salt that occurs.
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(shuffle_partitions(docs.sparkSession))).alias("salt"))
+    left = salted.select("a", "salt").distinct().join(side("a"), "a")
+    return map_batches(salted.join(side("b"), "b").join(left.hint("merge"), ["a", "salt"]).select("a", "b", "s_a", "s_b"), compare, "a long, b long")
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -211,7 +214,7 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     component_id is the smallest doc_id that the document reaches over links, itself included; kept tells whether
     that is its own. A null or empty text, or one without words, has an empty set and is linked with nothing. Rows
     that repeat a doc_id should repeat its text: each is reported, as one document. A null doc_id is linked with
-    nothing, has a null component and is kept.
+    nothing, has a null component and is kept. doc_id is a whole number; text that spells none is an error.
     """
     level = percent / 100
     error = SIGMAS * (level * (1 - level) / hmh.BUCKETS) ** 0.5
@@ -244,6 +247,12 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id."""
-    gone = groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each group: that with the smallest doc_id.
+
+    All columns pass through, whatever they are called. Rows without a doc_id, a text or words stay; rows that repeat
+    the doc_id that stays all stay. No documents give none.
+    """
+    own, salt, none = fresh(docs.columns, "gone", "salt", "none")
+    gone = groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias(own), F.lit(0).cast("long").alias(none)).distinct()
+    salted = docs.withColumn(salt, salt_of_nulls(F.col("doc_id"), F.col("text")))
+    return salted.join(gone, (F.col("doc_id") == F.col(own)) & (F.col(salt) == F.col(none)), "left_anti").select(*docs.columns)
