@@ -10,13 +10,14 @@ TO_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Extra columns whose names the operators use inside.
+#: Extra columns whose names the operators use inside, or like to.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, words string, lines int, node long, label long, key int, n_lines int, predicted int"
+MORE = ["own_id", "own_h1", "own_h2", "h1", "H2", "bad", "spans", "salt", "none", "gone", "bitmap", "__id", "__bitmap", "__gone", "__score", "__predicted", "__text"]
 
 
 def documents(spark, texts: list[tuple[int | None, str | None]]):
-    rows = [(i, t, None, None, None if t is None else len(t), 0.5, 1, "w", 2, 3, 4, 5, 6, 7) for i, t in texts]
-    return spark.createDataFrame(rows, SCHEMA)
+    rows = [(i, t, None, None, None if t is None else len(t), 0.5, 1, "w", 2, 3, 4, 5, 6, 7, *range(len(MORE))) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` int" for c in MORE))
 
 
 def awkward() -> list[tuple[int | None, str | None]]:

@@ -1,5 +1,6 @@
 """Near-duplicates, nearest neighbours and the pipeline against brute force."""
 
+import os
 import random
 from collections import Counter
 
@@ -11,6 +12,7 @@ import corpus_pipeline
 from tests.llm import brute
 from winnow.llm import ann, decontam, hyperminhash, neardup
 from winnow.llm.components import components
+from winnow.llm.queries import queries
 
 
 def _edited(words: list[str], edits: int, rng: random.Random) -> str:
@@ -63,6 +65,8 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(want.values())
     assert neardup.groups(docs.limit(0)).count() == 0
+    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    assert {tuple(r[c] for c in brute.MORE) for r in kept.collect()} == {tuple(range(len(brute.MORE)))}
 
 
 def test_estimates_are_close_to_the_similarity():
@@ -134,6 +138,45 @@ def test_short_lists_are_topped_up(spark):
     assert got == {**{i: 20 for i, g in enumerate(group) if g >= 20}, 9000: 20}
 
 
+def test_a_repeated_query_row_asks_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=8)]) for i in range(300)]
+    rows += [rows[0], rows[0], rows[20]]
+    got = ann.search(_vectors(spark, rows), F.col("vec_id") % 20 == 0, 10).collect()
+    want = _nearest(rows[:300], 10)
+    asked = Counter(r.query_id for r in got)
+    assert asked == dict.fromkeys(want, 10)
+    for q in (0, 20):
+        found = [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+        assert len(set(found)) == 10 and set(found) <= set(range(300)) - {q}
+
+
+def test_recall_on_the_embeddings_table(spark):
+    """All queries of the registered table against brute force."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the tables aren't there")
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in vectors.select("vec_id", "embedding").collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    asked = np.flatnonzero(ids % 20 == 0)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    best = {int(ids[q]): set(ids[np.lexsort((ids, -near[i]))[:20]].tolist()) for i, q in enumerate(asked)}
+    got: dict[int, set[int]] = {}
+    for r in queries()["op6_nearest"](spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(best)
+    assert sum(len(got[q] & best[q]) for q in best) >= 0.95 * 20 * len(best)
+
+
+def test_vectors_of_odd_lengths_are_told_of(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 6)] + [(9, [1.0]), (10, [1.0, 2.0, 3.0])]
+    with pytest.warns(UserWarning, match="2 vectors"):
+        got = ann.search(_vectors(spark, rows), F.lit(True), 3).collect()
+    assert {r.query_id for r in got} == {1, 2, 3, 4, 5}
+
+
 def test_few_vectors(spark):
     two = _vectors(spark, [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0])])
     assert [tuple(r) for r in ann.search(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 14.0)]

@@ -57,6 +57,48 @@ def test_a_large_benchmark_is_broadcast_in_blocks(spark, monkeypatch):
     assert sorted(map(str, decontam.report(docs, items).collect())) == whole
 
 
+def test_a_passage_of_very_many_items_is_one_small_row_of_the_broadcast(spark):
+    words = " ".join(f"shared{i}" for i in range(20))
+    items = spark.createDataFrame([(i, words) for i in range(3000)] + [(5000, words + " tail")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontam.report(brute.documents(spark, [(1, words), (2, "clean"), (3, f"{words} tail")]), items).collect()}
+    ids = [sorted(map(str, [*range(3000), 5000]))] * 2
+    assert [rows[i].n_items for i in (1, 2, 3)] == [3001, 0, 3001]
+    assert [rows[i].items_sha256 for i in (1, 3)] == [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
+    found, sets = decontam.scanned(brute.documents(spark, [(1, words)]), items)
+    assert sets.count() == 2 and found.first().n_words == 20
+
+
+def test_repeated_rows_are_reported_as_often_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "COPIES", 3)
+    texts = [(i, t) for i in (None, 1) for t in ("bench0 " + " ".join(f"bench{i}" for i in range(15)), None, "x y") for _ in range(8)]
+    rows = decontam.report(brute.documents(spark, texts), _items(spark)).collect()
+    assert len(rows) == len(texts) and sum(r.contaminated for r in rows) == 16 and sum(r.n_words == 0 for r in rows) == 16
+
+
+def test_columns_of_any_name_pass_through(spark):
+    texts = [*_texts(), *((i, "a line that a few documents share, in any case") for i in range(60, 64))]
+    docs = brute.documents(spark, texts)
+    for out in (decontam.decontaminate(docs, _items(spark)), line_dedup.dedup_lines(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r[c] for c in brute.MORE) for r in out.collect()} == {tuple(range(len(brute.MORE)))}
+
+
+def test_first_occurrences_stream_without_a_second_exchange(spark):
+    rows = [(i % 7, j, i % 3, 0) for i in range(60) for j in (4, 2, 9)]
+    firsts = line_dedup.first_occurrences(spark.createDataFrame(rows, "doc_id long, pos int, h1 long, h2 long"))
+    assert sorted((r.doc_id, r.pos, r.h1) for r in firsts.collect()) == sorted({(d, 2, h) for d, _, h, _ in rows})
+    plan = firsts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Window [" in plan
+
+
+def test_rows_without_an_id_lose_no_line_and_are_no_document(spark):
+    line = "a line that three rows hold, one of them without an id"
+    docs = brute.documents(spark, [(1, line), (2, line), (None, line), (None, line)])
+    assert sum(r.n_dropped for r in line_dedup.report(docs).collect()) == 0
+    more = docs.unionByName(brute.documents(spark, [(3, line)]))
+    assert {(r.doc_id, r.n_dropped) for r in line_dedup.report(more).collect()} == {(1, 1), (2, 1), (3, 0), (None, 0)}
+
+
 def test_kept_lines_are_those_of_plain_python(spark):
     texts = [(i, t) for i, t in brute.awkward() if i is not None] + [(i, f"unique {i}\n  A line THAT many documents hold \nshort\nshort") for i in range(100, 130)]
     docs = brute.documents(spark, texts)

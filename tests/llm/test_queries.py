@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from winnow.llm.oracles import oracle_sql
 from winnow.llm.queries import queries
@@ -30,10 +31,10 @@ def test_contract(spark, data, name):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents.select("doc_id").collect())
     if name in oracle_sql():
         con = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "conversations"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
         want = con.sql(oracle_sql()[name])
-        assert sorted(tuple(r[c] for c in want.columns) for r in rows) == sorted(want.fetchall())
+        assert sorted((tuple(r[c] for c in want.columns) for r in rows), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def test_the_pipeline_is_registered(spark, data):
@@ -50,3 +51,26 @@ def test_scratch_tables_can_be_deleted(spark):
     with pytest.raises(Exception, match="."):
         table.count()
     assert shared.clear_scratch(spark) == 0
+
+
+def test_scratch_tables_go_at_the_end_of_their_block_also_after_an_error(spark):
+    from winnow.llm import shared
+
+    kept = shared.written(spark.range(3), "kept")
+    with pytest.raises(ZeroDivisionError), shared.scratch(spark):
+        table = shared.written(spark.range(5), "five")
+        assert table.count() == 5
+        1 / 0
+    with pytest.raises(Exception, match="."):
+        table.count()
+    assert kept.count() == 3
+
+
+def test_a_sample_is_drawn_by_hash(spark):
+    from winnow.llm import shared
+
+    rows = spark.range(20_000)
+    drawn = [r.id for r in shared.drawn_by_hash(rows, "id", 500, 20_000).collect()]
+    assert len(drawn) == 500 and drawn == [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(500).collect()]
+    assert shared.drawn_by_hash(rows, "id", 30_000, 20_000).count() == 20_000
+    assert shared.fresh(["A", "b_"], "a", "b", "B") == ["a_", "b", "B__"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from winnow.llm import chat, grouping, licenses, packing, pretokens, secrets, textscan, token_counts, toxicity
+from winnow.llm import chat, grouping, licenses, packing, pretokens, secrets, textcnn, textscan, token_counts, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +67,20 @@ def test_token_counts(spark, docs):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in rows) == want
     assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
     assert token_counts.count(docs.limit(0)).count() == 0
+    plan = token_counts.count(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_the_table_of_frequent_pretokens_holds_the_librarys_lengths():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = token_counts.frequent_pretokens(path)
+    assert len(words) > 40_000 and {" the", "The", "\n"} <= set(words)
+    own = pretokens.cache(path, True)
+    some = words[::97]
+    assert own.encode_words(some)[1].tolist() == [len(x) for x in own.encode(some)]
+    hashes = np.concatenate([pretokens.Split([w], True).hashes() for w in some])
+    table = token_counts.Table(hashes, own.encode_words(some)[1])
+    assert table.get(np.append(hashes, hashes[:1] + np.uint64(1))).tolist() == [*own.encode_words(some)[1].tolist(), -1]
 
 
 # Packing
@@ -113,6 +128,18 @@ def test_bins_hold_every_length_once(counts):
     assert held == Counter(counts)
 
 
+def test_bins_of_usual_lengths_are_few():
+    """Against the volume's bound and best-fit decreasing, on lengths as texts have them."""
+    rng = np.random.default_rng(1)
+    for draw in (rng.lognormal(5.5, 1, 30_000), rng.uniform(500, 1500, 5000), rng.normal(800, 100, 5000)):
+        lengths, counts = np.unique(np.clip(draw.astype(np.int64), 1, 2048), return_counts=True)
+        bins = sum(b.count for b in grouping.pack(lengths, counts, 2048))
+        free = grouping._Free(2048)
+        for a, k in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
+            free.place(a, k)
+        assert bins <= 1.01 * sum(b.count for b in free.all())
+
+
 # Scans
 
 
@@ -130,6 +157,40 @@ def test_trigram_queries_miss_nothing(spark, docs):
     assert masked.text == "[SECRET] [SECRET] [SECRET]" and secrets.report(docs.limit(0)).count() == 0
 
 
+BASE = {
+    "assign": (re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 16),
+}
+
+
+def _base_spans(text):
+    """The base spans by the contract's own patterns."""
+    out = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, (p, g, least)) in enumerate(BASE.items()) for m in p.finditer(text or "") if len(m[g]) >= least]
+    return [(kind.split(":")[0], kind) for _, _, kind in sorted(out)]
+
+
+def test_base_secrets_are_those_of_the_contract(spark):
+    rng = np.random.default_rng(12)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "ApiKey", "'", '"', " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "ABCDEFGH01234567", "0123456789abcdef", "deadbeef", "é", "\n", "x", "abc.def/ghi+jkl=", "G"]
+    texts = [(100 + i, "".join(rng.choice(parts, rng.integers(1, 40)))) for i in range(400)]
+    got = {r.doc_id: r for r in secrets.report(brute.documents(spark, texts)).collect()}
+    for i, t in texts:
+        spans = _base_spans(t)
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(kind == k for kind, _ in spans) for k in BASE]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(s for _, s in spans).encode()).hexdigest()
+    assert sum(len(_base_spans(t)) for _, t in texts) > 300
+
+
+def test_many_openings_of_a_token_in_one_run_are_read_once():
+    text = "eyJ" * 200_000
+    began = time.perf_counter()
+    assert secrets.find(pa.array([text])) == [[]] and time.perf_counter() - began < 5
+    real = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
+    kinds = [[(a, secrets.RULES[k].kind, b) for a, k, b in x if secrets.RULES[k].kind == "jwt"] for x in secrets.find(pa.array([f"x eyJab.{real} eyJ", f"zeyJ{real}"]))]
+    assert kinds == [[(2 + 6, "jwt", 2 + 6 + len(real))], [(1, "jwt", 4 + len(real))]]
+
+
 @pytest.mark.parametrize("pattern", ["(ab|cd)ef+g", "x?yzw", "[ab]bc[de]", "(foo){2}", "q(?:uu|vv)*rst", "日本語", "a.cde"])
 def test_trigram_queries_hold_for_matches(pattern):
     query, samples = secrets.trigram_query(pattern), ["abefg", "cdeffg", "yzw", "xyzw", "bbcd", "foofoo", "qrst", "quuvvrst", "日本語", "abcde"]
@@ -165,6 +226,46 @@ def test_key_phrases_are_found_without_the_rest_of_their_templates(spark):
         assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
 
 
+def _all_of(text, templates):
+    """Labels and score by looking at every word position."""
+    words, labels, score = brute.WORD.findall(brute.lowered(text)), set(), 0.0
+    for t in templates:
+        low, high = t.key
+        for i in range(len(words) - (high - low) + 1):
+            if tuple(words[i : i + high - low]) == t.words[low:high]:
+                labels.add(t.label)
+                around = [0 <= i - low + k < len(words) and words[i - low + k] == w for k, w in enumerate(t.words)]
+                score = max(score, sum(around) / len(around))
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_are_those_of_every_position(spark):
+    rng = np.random.default_rng(21)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.words})
+    texts = list(brute.awkward())
+    for i in range(150):
+        words: list[str] = []
+        for _ in range(rng.integers(1, 5)):
+            t = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))]
+            low, high = (0, len(t.words)) if rng.random() < 0.4 else (max(0, t.key[0] - int(rng.integers(3))), t.key[1] + int(rng.integers(-1, 3)))
+            own = list(t.words[low:high])
+            if rng.random() < 0.3:
+                own[rng.integers(len(own))] = "other"
+            words += [*rng.choice(vocabulary, rng.integers(0, 6)), *own]
+        texts.append((1000 + i, ", ".join(words)))
+    rows = licenses.scan(brute.documents(spark, texts)).collect()
+    assert sorted((str(r.doc_id), r.labels, r.score) for r in rows) == sorted((str(i), *_all_of(t, licenses.TEMPLATES)) for i, t in texts)
+    assert len({r.labels for r in rows}) > 50
+
+
+def test_lookups_are_each_files_rarest_words_and_enough_for_every_phrase():
+    index = licenses.Index(licenses.TEMPLATES, {w: 1 / (1 + i) for i, w in enumerate(sorted({w for t in licenses.TEMPLATES for w in t.words}))})
+    every = np.arange(len(index.order))
+    chosen, possible = index.lookups(np.concatenate([every, every[:5]]), np.repeat([0, 1], [len(every), 5]), 3)
+    assert possible[0].all() and not possible[1:].any() and not chosen[1:].any()
+    assert chosen[0, index.order[: licenses.LOOKUPS]].all() and ((index.holds > 0) & chosen[0]).any(axis=1).all()
+
+
 # Chat
 
 
@@ -188,7 +289,16 @@ def test_chat_round_trip(spark):
         assert got[conv].formatted_chars == len(texts[conv].formatted)
         data = texts[conv].formatted.encode()
         assert b"".join(chat.unescape(data[s.start : s.end]) for s in texts[conv].loss).decode() == loss
-    assert chat.report(turns.limit(0)).count() == 0
+    assert chat.report(turns.limit(0)).count() == 0 and chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_strings_lie_over_the_assembled_buffer():
+    built = chat.assemble(pa.array(["user", None, "assistant"]), pa.array(["a", "b|", "<|é"]))
+    texts = chat.strings(built, [(1, 0, 2), (2, 2, 3)])
+    assert texts.to_pylist() == ["<|im_start|>user\na<|im_end|>\n<|im_start|>\nb|<|im_end|>\n", "<|im_start|>assistant\n<\\|é<|im_end|>\n"]
+    assert texts.buffers()[2].address == built.data.ctypes.data
+    masks = chat.masks(built, [(1, 0, 2), (2, 2, 3)]).to_pylist()
+    assert masks == [[], [{"start": 22, "end": 27}]]
 
 
 # Toxicity
@@ -219,6 +329,56 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.where("score = 0.5").count() == kept.count()
 
 
+def test_scores_follow_an_independent_forward_pass():
+    """Logits of whole blocks against one text at a time, window by window."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 1 << textcnn.BUCKET_BITS, (n, 3)) for n in (40, 1, 7, 5000)] * 3
+    model = textcnn.train(texts, np.array([0, 1, 0, 1] * 3))
+    for cut in ([*texts[:4], np.zeros((0, 3), np.int64)], [texts[3]]):
+        got = model.logits(np.concatenate(cut), np.concatenate([[0], np.cumsum([len(t) for t in cut])]))
+        for z, t in zip(got, cut, strict=True):
+            x = np.array([sum(model.embedding[model.row[b]] for b in w) for w in t] or [np.zeros(textcnn.DIM)])
+            pooled = []
+            for width, w, b in zip(textcnn.WIDTHS, model.filters, model.bias, strict=True):
+                full = np.concatenate([x, np.zeros((width - 1, textcnn.DIM))])
+                pooled.append(np.maximum(np.max([full[i : i + width].ravel() @ w + b for i in range(len(x))], axis=0), 0))
+            assert abs(z - (np.concatenate(pooled) @ model.weight + model.offset)) < 1e-3
+
+
+def test_long_texts_are_learned_from_as_they_are_scored():
+    """Windows see the same neighbours: a long text keeps the places of its unknown words."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(1, 1 << textcnn.BUCKET_BITS, (n, 3)) for n in (5000, 4500, 30, 30)] * 2
+    seen = []
+    forward = textcnn._forward
+    textcnn._forward = lambda model, ids: seen.append(len(ids)) or forward(model, ids)
+    try:
+        textcnn.train(texts, np.array([1, 0] * 4))
+    finally:
+        textcnn._forward = forward
+    assert set(seen) == {5000, 4500, 30}
+
+
+def test_a_fitted_model_scores_awkward_rows(spark, docs, monkeypatch):
+    words = [f"plain{i}" for i in range(50)]
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join([*rng.choice(words, 30), *(["zorble"] * (i % 2))])) for i in range(2000, 2200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    known = brute.documents(spark, texts + texts[:40])
+    model = toxicity.fit(known, labels)
+    rows = toxicity.score(docs.select("doc_id", "text"), model).collect()
+    assert len(rows) == len(brute.awkward()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len({r.score for r in rows if not (r.text or "").strip()}) == 1  # null, empty and blank alike
+    for text in {r.text for r in rows}:
+        assert len({r.score for r in rows if r.text == text}) == 1
+    with pytest.raises(ValueError, match="other names"):
+        toxicity.score(docs, model)
+    sample, toxic, share = toxicity.labelled_sample(known, labels, 3000)
+    assert len(sample) == len(toxic) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in texts) and 0.4 < share < 0.6
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 100)
+    assert [len(t) for t, y in zip(*toxicity.labelled_sample(known, labels, 3000)[:2], strict=True) if y == 0] == [30, 30, 30]
+
+
 def test_without_labels_nothing_is_toxic(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.keep_clean(docs, none).count() == docs.count()

@@ -93,11 +93,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     return each.withColumn("row", F.explode(repeated)).select("doc_id", "n_words", "spans", "items")
 
 
+def joined_spans(spans: Column) -> Column:
+    """Sorted spans, with those that overlap or touch made one."""
+    last = lambda done: F.get(done, F.size(done) - 1)
+    longer = lambda done, s: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end"))))
+    step = lambda done, s: F.when((F.size(done) > 0) & (last(done)["end"] >= s["start"]), longer(done, s)).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def n_hit(spans: Column) -> Column:
     """How many words lie in the union of sorted spans."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
-    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+    return F.aggregate(joined_spans(spans), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def _contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -138,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFra
     """
     k1, k2, m1, m2, key, bad, spans = fresh(docs.columns, "h1", "h2", "own_h1", "own_h2", "own_id", "bad", "spans")
     found = scanned(docs, benchmark, n)[0].where(F.size("spans") > 0)
-    marks = written(found.select(F.col("doc_id").alias(key), F.col("h1").alias(m1), F.col("h2").alias(m2), _contaminated(n_hit(F.col("spans")), F.col("n_words")).alias(bad), F.col("spans").alias(spans)), "marks")
+    marks = written(found.select(F.col("doc_id").alias(key), F.col("h1").alias(m1), F.col("h2").alias(m2), _contaminated(n_hit(F.col("spans")), F.col("n_words")).alias(bad), joined_spans(F.col("spans")).alias(spans)), "marks")
     keyed = docs.withColumns(dict(zip((k1, k2), text_keys(F.col("text")), strict=True)))
     same = (F.col(k1) == F.col(m1)) & (F.col(k2) == F.col(m2)) & F.col("doc_id").eqNullSafe(F.col(key))
     joined = keyed.join(marks.hint("shuffle_hash"), same, "left")

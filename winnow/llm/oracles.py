@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from winnow.llm.licenses import TEMPLATES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -31,5 +33,81 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP3 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT a, b FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.other, d.doc_id)) AS component_id, least(d.doc_id, coalesce(r.other, d.doc_id)) = d.doc_id AS kept
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of r ON r.doc_id = d.doc_id
+"""
+
+#: By kind, in the order of equal starts: the pattern, the group that has a least length, and that length.
+SECRETS = {
+    "assign": (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+    "github": (r"gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0),
+    "google": (r"AIza[A-Za-z0-9_-]{35}", 0, 0),
+    "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+}
+
+
+def _secrets_of(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Where a match stands follows from the lengths of what is between the matches before it."""
+    return f"""SELECT r, {rank} AS rank, '{kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(found[i]) AS size
+FROM (SELECT r, gaps, found, checked, unnest(range(1, len(found) + 1)) AS i FROM (SELECT r, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {group}) AS checked FROM texts))
+WHERE length(checked[i]) >= {least}"""
+
+
+OP5 = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_secrets_of(i, k, *v) for i, (k, v) in enumerate(SECRETS.items()))}),
+shown AS (SELECT r, rank, kind, start, kind || ':' || start || ':' || (start + size) AS span FROM spans),
+per AS (SELECT r, string_agg(span, ',' ORDER BY start, rank) AS spans, string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
+  count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS k, count(*) FILTER (WHERE kind = 'hex') AS h FROM shown GROUP BY r)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per ON per.r = texts.r
+"""
+
+OP7 = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+escaped AS (SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS t FROM turns)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(r) + 1 + length(t) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+def _template(t) -> str:
+    low, high = t.key
+    return f"('{t.label}', {t.base}, {low}, '{' '.join(t.words[low:high])}', '{' '.join(t.words)}')"
+
+
+OP8 = f"""
+WITH templates AS (SELECT label, base, low, key, string_split(key, ' ') AS phrase, string_split(whole, ' ') AS whole FROM (VALUES {", ".join(map(_template, TEMPLATES))}) v(label, base, low, key, whole)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+maybe AS (SELECT r, w, t.* FROM (SELECT r, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM docs) JOIN templates t ON contains(line, ' ' || key || ' ')),
+places AS (SELECT *, unnest(list_filter(range(1, len(w) - len(phrase) + 2), lambda i: w[i:i + len(phrase) - 1] = phrase)) AS i FROM maybe),
+scored AS (SELECT r, label, base, i - 1 AS word, CAST(len(list_filter(range(1, len(whole) + 1), lambda k: i - low + k - 1 >= 1 AND w[i - low + k - 1] = whole[k])) AS DOUBLE) / len(whole) AS score FROM places),
+per AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(word) FILTER (WHERE base) AS low, max(word) FILTER (WHERE base) AS high,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM scored GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN per ON per.r = docs.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op10_line_dedup": OP10}
+    return {"op1_decontaminate": OP1, "op3_near_duplicates": OP3, "op5_secrets": OP5, "op7_chat_format": OP7, "op8_licenses": OP8, "op10_line_dedup": OP10}
