@@ -131,10 +131,10 @@ def test_bins_hold_every_length_once(counts):
 def test_bins_of_usual_lengths_are_few():
     """Against the volume's bound and best-fit decreasing, on lengths as texts have them."""
     rng = np.random.default_rng(1)
-    for draw in (rng.lognormal(5.5, 1, 30_000), rng.uniform(500, 1500, 5000), rng.normal(800, 100, 5000)):
-        lengths, counts = np.unique(np.clip(draw.astype(np.int64), 1, 2048), return_counts=True)
-        bins = sum(b.count for b in grouping.pack(lengths, counts, 2048))
-        free = grouping._Free(2048)
+    for capacity, draw in ((2048, rng.lognormal(5.5, 1, 30_000)), (128, rng.uniform(30, 90, 3000)), (128, rng.normal(50, 6, 3000))):
+        lengths, counts = np.unique(np.clip(draw.astype(np.int64), 1, capacity), return_counts=True)
+        bins = sum(b.count for b in grouping.pack(lengths, counts, capacity))
+        free = grouping._Free(capacity)
         for a, k in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
             free.place(a, k)
         assert bins <= 1.01 * sum(b.count for b in free.all())

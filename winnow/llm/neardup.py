@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import hyperminhash as hmh
 from winnow.llm.components import components
-from winnow.llm.shared import fresh, map_batches, salt_of_nulls, shuffle_partitions, written
+from winnow.llm.shared import fresh, map_batches, salt_of_nulls, written
 from winnow.llm.textscan import blocks
 
 #: Standard errors of an estimate by which a pair may fall short of the threshold and still be verified.
@@ -34,6 +34,8 @@ SIGMAS = 5
 WIDTH = 6
 #: Members up to which a bucket's unsettled pairs are rows, members in a block of a larger one, shingles in a bitmap.
 SMALL_BUCKET, BLOCK, BITMAP = 32, 1024, 1 << 13
+#: Pairs of a star that are verified under one key, about.
+STAR = 64
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -122,8 +124,10 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     full = full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")).hint("merge")
-    # The centre of a large star is a hot key: its pairs are salted by their other ends, and its set goes to each salt that occurs.
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(shuffle_partitions(docs.sparkSession))).alias("salt"))
+    # The centre of a large star is a hot key: its pairs are salted by their other ends, and its set goes to each salt.
+    # Written, so that the few large stars are broadcast while they are few, and a hot key's rows of two ids split else.
+    large = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")).where("salts > 1"), "large")
+    salted = pairs.select("a", "b").join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).alias("salt"))
     left = salted.select("a", "salt").distinct().join(side("a"), "a")
     return map_batches(salted.join(side("b"), "b").join(left.hint("merge"), ["a", "salt"]).select("a", "b", "s_a", "s_b"), compare, "a long, b long")
 
