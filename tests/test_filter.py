@@ -157,6 +157,107 @@ def test_highlights(df):
     assert hits(df, "owner:null") == {3: [("owner", None)]}
 
 
+def test_places_of_highlights_are_the_sources(spark):
+    """Indexes count nulls, keys of maps are names, nested arrays have an index a level, whatever was stepped over."""
+    rows = spark.createDataFrame([(
+        1, {"colour": "red", "size": None}, [None, {"v": "x", "m": {"k": "x"}}], [[1, 2], None, [3, 2]], [{"a": "red"}, None, {"b": "red"}], "İstanbul", "x", ("x",),
+    )], "id int, m map<string,string>, items array<struct<v:string,m:map<string,string>>>, n array<array<int>>, maps array<map<string,string>>, city string, `a.b` string, a struct<b:string>")
+    found = lambda q, **o: sorted((h.path, tuple(h.segments), None if h.ranges is None else [tuple(r) for r in h.ranges]) for h in Engine(**o).highlight(q, rows).first().highlights)
+    assert found("red") == [("m.colour", ("m", "colour"), [(0, 3)]), ("maps.0.a", ("maps", "0", "a"), [(0, 3)]), ("maps.2.b", ("maps", "2", "b"), [(0, 3)])]
+    assert found("items.v:x") == [("items.1.v", ("items", "1", "v"), [(0, 1)])] and found("items.m.k:x") == [("items.1.m.k", ("items", "1", "m", "k"), [(0, 1)])]
+    assert found("2") == [("n.0.1", ("n", "0", "1"), None), ("n.2.1", ("n", "2", "1"), None)]
+    assert found("items.1.v:x") == [("items.1.v", ("items", "1", "v"), [(0, 1)])] and found("maps.b:r*") == [("maps.2.b", ("maps", "2", "b"), [(0, 1)])]
+    assert found("m.size:null") == [("m.size", ("m", "size"), None)] and found("n:null") == [("n.1", ("n", "1"), None)]
+    assert found("colour", match_keys=True) == [("m.colour", ("m", "colour"), [(0, 6)])]
+    assert [h[1] for h in found("b", match_keys=True)] == [("a", "b"), ("a.b",), ("city",), ("maps", "2", "b")]
+    # A fold that changes the length leaves no place to point at, but the hit stands.
+    assert found("city:İstanbul") == [("city", ("city",), None)] and found("city::İstanbul") == [("city", ("city",), [(0, 8)])] and found("stan") == [("city", ("city",), None)]
+    # A bare hit at a.b within a struct stays beside a located one at the column named "a.b".
+    assert found("a.b:[* TO *] 'a.b':x") == [("a.b", ("a", "b"), None), ("a.b", ("a.b",), [(0, 1)])]
+
+
+def test_columns_that_have_the_engines_own_names(spark):
+    rows = spark.createDataFrame([(1, "mine", ["red"], 5)], "id int, __hits string, tags array<string>, __winnow_0 int")
+    got = Engine().highlight("tags:*e* OR tags:/r/", rows).first()
+    assert (got["__hits"], got["__winnow_0"]) == ("mine", 5) and [h.path for h in got.highlights] == ["tags.0", "tags.0"]
+
+
+def test_keys_of_maps_inside_arrays(spark):
+    rows = spark.createDataFrame([(1, [{"alpha": 1}, None], [("x", None)]), (2, None, [("y", {"beta": 2})])], "id int, m array<map<string,int>>, s array<struct<name:string,deep:map<string,int>>>")
+    assert [r.id for r in Engine(match_keys=True).filter("alpha", rows).collect()] == [1] and [r.id for r in Engine(match_keys=True).filter("beta", rows).collect()] == [2]
+    assert Engine().filter("alpha", rows).count() == 0 and Engine(match_keys=True).filter("deep", rows).count() == 2
+
+
+def test_variant_columns_are_refused(spark):
+    rows = spark.range(1).selectExpr("id", "parse_json('{\"a\": 1}') AS v", "array(parse_json('1')) AS w")
+    for query in ("v:1", "v.a:1", "w:1", "1"):
+        with pytest.raises(winnow.ArgumentError, match="Variant"):
+            Engine().filter(query, rows)
+    assert Engine().filter("id:0", rows).count() == 1
+
+
+class _Odd(winnow.ValueType):
+    """A type whose methods do what they shouldn't."""
+
+    name = "odd"
+
+    def __init__(self, **does):
+        self.does = does
+
+    def parse_operand(self, operand, context):
+        return self.does.get("parse", lambda context: winnow.Claimed("x"))(context)
+
+    def read(self, column, kind, operand, context):
+        return winnow.Reading(column) if str(kind) == "StringType()" else None
+
+    def equals(self, value, operand, context):
+        return self.does.get("equals", lambda value: value == operand)(value)
+
+    def spans(self, operand, context):
+        return self.does.get("spans")
+
+
+def test_custom_types_are_guarded(df, spark):
+    def fails(*_):
+        raise RuntimeError("defect")
+
+    engine = lambda **does: Engine(types=(_Odd(**does),))
+    with pytest.raises(winnow.OperandError, match="odd.*defect"):
+        engine(parse=fails).filter("name:a", df)
+    with pytest.raises(winnow.ConfigError, match="parse_operand"):
+        engine(parse=lambda c: 5).filter("name:a", df)
+    for equals in (fails, lambda v: True, lambda v: None, lambda v: F.length(v)):
+        with pytest.raises(winnow.ConfigError):
+            engine(equals=equals).filter("name:a", df)
+        with pytest.raises(winnow.ConfigError):
+            engine(equals=equals).test("NOT name:a OR rank:1", df)
+    with pytest.raises(winnow.ConfigError, match="defect"):
+        Engine(types=(fails,))
+    seen = []
+    engine(parse=lambda c: seen.append(c) or winnow.Claimed("x")).filter("name:a", df)
+    assert not hasattr(seen[0].options, "on_value_error") and seen[0].options.max_pattern_length == 1000 and seen[0].site == "match"
+    # Spans that make no sense are left out; a hit without any is a bare one.
+    rows = spark.createDataFrame([(1, "abcdef")], "id int, t string")
+    spans = lambda f: [h.ranges if h.ranges is None else [tuple(r) for r in h.ranges] for h in engine(equals=lambda v: v.isNotNull(), spans=f).highlight("t:a", rows).first().highlights]
+    assert spans(lambda t: [(4, 5), (0, 2), (-1, 3), (3, 9), (2, 2), "x", (1, "2"), (0.0, 1)]) == [[(0, 2), (4, 5)]]
+    assert spans(lambda t: [(5, 5)]) == [None] and spans(fails) == [None] and spans(lambda t: 7) == [None]
+    # What a coercion can't take is no value; what it makes of another type than declared is a defect.
+    word = winnow.coerced("word", lambda t: t, lambda t: t if t != "abcdef" else fails(), "string")
+    assert Engine(types=(word,)).filter("t:abcdef", rows).count() == 0
+    with pytest.raises(Exception, match="coerce must return"):
+        Engine(types=(winnow.coerced("word", lambda t: 5, lambda t: "text", "int"),)).filter("t:a", rows).collect()
+
+
+def test_the_failure_policy_is_sealed():
+    with pytest.raises(TypeError):
+        winnow.VALUE_FAILURE_POLICY["match"]["miss"] = "value-error"
+    with pytest.raises(TypeError):
+        winnow.VALUE_FAILURE_POLICY["match"] = {}
+    assert winnow.disposition("ordered", "miss") == "value-error"
+    with pytest.raises(winnow.ArgumentError):
+        winnow.disposition("ordered", "x")
+
+
 def test_test_is_two_valued(df):
     rows = Engine().test("score:>0", df).collect()
     assert {r.id: r.matched for r in rows} == {1: True, 2: False, 3: False, 4: False, 5: False}
@@ -194,6 +295,23 @@ def test_regular_expressions_that_are_refused(pattern):
     assert e.value.code == "UNSAFE_PATTERN"
 
 
+def test_lines_of_texts_that_end_otherwise(spark):
+    texts = ["a\nb", "a\r\nb", "x\u2028b", "xb", "b\n", None, "\nb c", "ab\u2029c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    own = lambda p: [i for i, t in enumerate(texts) if t is not None and regex.search(regex.program(regex.parse(p, "m")), t, 0, True) is not None]
+    for pattern in ("^b$", "^b", "b$", "^c", "^$", r"a$\n?"):
+        if pattern != r"a$\n?":
+            assert [r.i for r in Engine().filter(f"t:/{pattern}/m", df).collect()] == own(pattern), pattern
+    assert own("^b$") == [0, 1, 2, 4]
+
+
+def test_spans_stop_where_too_many_positions_are_visited():
+    code = regex.program(regex.parse("a"))
+    assert len(regex.matches(code, "a" * 5000)) == 5000
+    late = regex.program(regex.parse("a(.*z)?"))  # each match reads to the end of the text
+    assert len(regex.matches(late, "a" * 40)) == 40 and regex.matches(late, "a" * 5000) == []
+
+
 def test_the_dialect():
     on = lambda p, t, f="": regex.search(regex.program(regex.parse(p, f)), t, 0, "m" in f) is not None
     assert not on("a$", "a\n") and on(r"\s", "\xa0") and on(".", "\x85") and not on(".", "\u2028") and on("a.b", "a\nb", "s")
@@ -211,12 +329,14 @@ def test_number_text():
 
 
 def test_number_columns(spark):
-    texts = ["5", "+5.", ".5", "1e3", "9007199254740993", "9007199254740992", "", " 5", "5d", "NaN", "1e999", "12345678901234567890123456789012345678901234567890", None, "x"]
+    texts = ["5", "+5.", ".5", "1e3", "9007199254740993", "9007199254740992", "", " 5", "5d", "NaN", "1e999", "12345678901234567890123456789012345678901234567890", None, "x", "12\n", "1e3\n", str(2**70), str(2**70 + 2**17), str(2**70 + 2**18), str(2**130), str(2**130 + 1), str(-(2**1000)), "0" * 5000 + "7", "-" + "0" * 60 + str(2**64), "1" + "0" * 400]
+    rng = random.Random(3)
+    texts += [str((rng.getrandbits(rng.randrange(1, 56)) << (e := rng.randrange(960))) + rng.choice([0, 1, 1 << max(e - 1, 0)])) for _ in range(100)]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(numbers.number_column(F.col("t"))).collect()]
     assert got == [None if t is None or numbers.parse_number(t) is None else float(numbers.parse_number(t)) for t in texts]
 
 
-DATES = ["2020-06-15", "2020/06/15", "2020-06/15", "2020-6-15", "2020", "2020-02-30", "2021-02-29", "2000-02-29", "1900-02-29", "2020-06-15T10:30", "2020-06-15 10:30:05.1239", "2020-06-15t10:30:05,5z", "2020-06-15T10:30+05", "2020-06-15T10:30-0530", "2020-06-15T24:00", "2020-06-15T10:30:60", "0000-01-01", "0001-01-01T00:00+23:59", "9999-12-31T23:59:59.999-23:59", "14:30", "14:30:15.25", "24:00", "1:30", "2020-06-15T10:30 Europe/Paris", "", "x2020-06-15"]
+DATES = ["2020-06-15", "2020/06/15", "2020-06/15", "2020-6-15", "2020", "2020-02-30", "2021-02-29", "2000-02-29", "1900-02-29", "2020-06-15T10:30", "2020-06-15 10:30:05.1239", "2020-06-15t10:30:05,5z", "2020-06-15T10:30+05", "2020-06-15T10:30-0530", "2020-06-15T24:00", "2020-06-15T10:30:60", "0000-01-01", "0001-01-01T00:00+23:59", "9999-12-31T23:59:59.999-23:59", "14:30", "14:30:15.25", "24:00", "1:30", "2020-06-15T10:30 Europe/Paris", "", "x2020-06-15", "2020-06-15\n", "2020-06-15T10:30\n", "14:30\n", "\n14:30"]
 
 
 def test_dates_in_columns_are_those_of_the_driver(spark):
@@ -224,6 +344,8 @@ def test_dates_in_columns_are_those_of_the_driver(spark):
     for domain in ("instant", "time"):
         got = [r[0] for r in df.select(temporal.iso_column(F.col("t"), domain)).collect()]
         assert got == [p.millis if (p := temporal.parse_iso(t)) and p.domain == domain else None for t in DATES]
+    layout = df.select(temporal.text_column(F.col("t"), "instant", ("YYYY-MM-DD",))).collect()
+    assert [r[0] for r in layout] == [p.millis if (p := winnow.resolve_temporal(t, ("YYYY-MM-DD",))) and p.domain == "instant" else None for t in DATES]
     assert temporal.parse_iso("2020-06-15T10:30+05").millis == temporal.parse_iso("2020-06-15T05:30").millis
     assert winnow.resolve_temporal("31-12-2020", ("DD-MM-YYYY",)).millis == temporal.parse_iso("2020-12-31").millis
 

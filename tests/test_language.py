@@ -89,11 +89,11 @@ def test_shapes():
 
 
 @pytest.mark.parametrize(("query", "code", "reason", "at"), [
-    ("status: active", "SYNTAX", "Did you mean status:active?", 7), ("(a", "SYNTAX", "Unclosed group", 2), ("f:", "SYNTAX", "Expected a value", 2),
-    ("f:>a*", "SYNTAX", "single value", 5), ("f:>true", "SYNTAX", "single text or numeric", 7), ("a^2", "UNSUPPORTED_SYNTAX", "boost", 1), ("a~", "UNSUPPORTED_SYNTAX", "fuzzy", 1),
-    ("+x", "UNSUPPORTED_SYNTAX", "required", 0), ('"abc', "SYNTAX", "Unterminated quoted", 0), ("/abc", "SYNTAX", "Unterminated regular", 0), ("a)", "SYNTAX", "Unexpected", 1),
-    ("f:[1 TO", "SYNTAX", "upper range boundary", 7), ("f:[1 2]", "SYNTAX", 'Expected "TO"', 5), ('n:("a":b)', "SYNTAX", "may not contain another field", 3),
-    ("f:[* TO *x]", "SYNTAX", "cannot contain wildcards", 8), ('["*" TO 9]', "SYNTAX", "wildcards", 1), ("AND", "SYNTAX", "Expected a search term", 0), ("a OR", "SYNTAX", "search term", 4),
+    ("status: active", "SYNTAX", "Did you mean status:active?", 7), ("(a", "SYNTAX", "lacks its", 2), ("f:", "SYNTAX", "value is missing", 2),
+    ("f:>a*", "SYNTAX", "one value", 5), ("f:>true", "SYNTAX", "one text or number", 7), ("a^2", "UNSUPPORTED_SYNTAX", "boost", 1), ("a~", "UNSUPPORTED_SYNTAX", "fuzzy", 1),
+    ("+x", "UNSUPPORTED_SYNTAX", "no meaning yet", 0), ('"abc', "SYNTAX", "quote is never closed", 0), ("/abc", "SYNTAX", "expression is never closed", 0), ("a)", "SYNTAX", "Unexpected", 1),
+    ("f:[1 TO", "SYNTAX", "upper bound", 7), ("f:[1 2]", "SYNTAX", 'by "TO"', 5), ('n:("a":b)', "SYNTAX", "no fields of their own", 3),
+    ("f:[* TO *x]", "SYNTAX", "no wildcards", 8), ('["*" TO 9]', "SYNTAX", "wildcards", 1), ("AND", "SYNTAX", "term is missing", 0), ("a OR", "SYNTAX", "term is missing", 4),
     (":", "SYNTAX", "Unexpected character", 0), ("/a/x", "SYNTAX", "Unknown regular expression flag", 0), ("/a/ii", "SYNTAX", "Duplicate", 0),
 ])
 def test_errors_say_where(query, code, reason, at):

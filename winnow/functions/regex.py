@@ -307,18 +307,19 @@ def _class(ranges: Ranges) -> str:
     return "[" + "".join(point(a) if a == b else f"{point(a)}-{point(b)}" for a, b in valid) + "]"
 
 
-def to_re2(tree: Item) -> str:
+def to_re2(tree: Item, lines: bool = False) -> str:
+    """The pattern as RE2 takes it. ``lines``: anchors match at line feeds too."""
     match tree.kind:
         case "set":
             return _class(tree.ranges)
         case "seq":
-            return "".join(to_re2(i) for i in tree.items)
+            return "".join(to_re2(i, lines) for i in tree.items)
         case "alt":
-            return "(?:" + "|".join(to_re2(i) for i in tree.items) + ")"
+            return "(?:" + "|".join(to_re2(i, lines) for i in tree.items) + ")"
         case "repeat":
             count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((tree.low, tree.high)) or (f"{{{tree.low},{'' if tree.high is None else tree.high}}}")
-            return f"(?:{to_re2(tree.items[0])}){count}" + "?" * tree.lazy
-    return {"begin": r"\A", "end": r"\z", "edge": r"\b", "inside": r"\B"}[tree.kind]
+            return f"(?:{to_re2(tree.items[0], lines)}){count}" + "?" * tree.lazy
+    return {"begin": "(?m:^)" if lines else r"\A", "end": "(?m:$)" if lines else r"\z", "edge": r"\b", "inside": r"\B"}[tree.kind]
 
 
 def plain_text(tree: Item) -> str | None:
@@ -390,7 +391,7 @@ def _in(ranges: Ranges, c: int) -> bool:
 
 
 def search(code: list[tuple], text: str, start: int = 0, multiline: bool = False, steps: list[int] | None = None) -> tuple[int, int] | None:
-    """The leftmost match from ``start`` on, of the first alternative; None also if ``steps`` runs out."""
+    """The leftmost match from ``start`` on, of the first alternative. ``steps`` is lowered by each position visited."""
     n = len(text)
     word = lambda i: 0 <= i < n and (text[i] == "_" or text[i].isascii() and text[i].isalnum())
     line_end = lambda i: text[i] in "\n\r\u2028\u2029"
@@ -405,6 +406,8 @@ def search(code: list[tuple], text: str, start: int = 0, multiline: bool = False
     threads: list[tuple[int, int]] = []
     best = None
     for i in range(start, n + 1):
+        if steps is not None:
+            steps[0] -= 1
         if best is None:
             threads.append((0, i))
         seen: set[int] = set()
@@ -417,10 +420,6 @@ def search(code: list[tuple], text: str, start: int = 0, multiline: bool = False
                 if pc in seen:
                     continue
                 seen.add(pc)
-                if steps is not None:
-                    steps[0] -= 1
-                    if steps[0] < 0:
-                        return None
                 op = code[pc]
                 if op[0] == "split":
                     stack += [op[2], op[1]]
@@ -443,12 +442,14 @@ def search(code: list[tuple], text: str, start: int = 0, multiline: bool = False
 
 
 def matches(code: list[tuple], text: str, multiline: bool = False) -> list[tuple[int, int]]:
-    """Every match, leftmost first; none at all if the text takes more steps than its length allows."""
-    out, at, steps = [], 0, [4 * len(text) * max(1, len(code)) + 1000]
+    """Every match, leftmost first; none at all if the search visits more positions than the text's length allows."""
+    out, at, steps = [], 0, [4 * len(text) + 1000]
     while at <= len(text):
+        if steps[0] < 0:
+            return []
         found = search(code, text, at, multiline, steps)
         if found is None:
-            return [] if steps[0] < 0 else out
+            return out
         out.append(found)
         at = found[1] if found[1] > found[0] else found[1] + 1
     return out

@@ -11,17 +11,14 @@ from pyspark.sql import functions as F
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def sanitised(spans: object, length: int) -> list[dict]:
-    """Spans inside the text, in order and without those that make no sense."""
-    out = []
-    for s in spans or ():
-        try:
-            a, b = max(0, int(s[0])), min(length, int(s[1]))
-        except (TypeError, ValueError, IndexError):
-            continue
-        if a < b:
-            out.append({"start": a, "end": b})
-    return sorted(out, key=lambda s: (s["start"], s["end"]))
+def sanitised(find: Callable[[str], object], text: str) -> list[dict] | None:
+    """The spans that ``find`` gives, in order and without those that make no sense; None if none are left or it fails."""
+    try:
+        spans = [s for s in find(text) or () if isinstance(s, (tuple, list)) and len(s) == 2]
+    except Exception:  # noqa: BLE001 - a custom type's function; the match itself stands
+        return None
+    real = [s for s in spans if all(isinstance(x, int) and not isinstance(x, bool) for x in s) and 0 <= s[0] < s[1] <= len(text)]
+    return [{"start": a, "end": b} for a, b in sorted(map(tuple, real))] or None
 
 
 def all_spans(column: Column, find: Callable[[str], list[tuple[int, int]]] | None, many: bool, kind=None, operand=None, context=None) -> Column:
@@ -39,7 +36,7 @@ def all_spans(column: Column, find: Callable[[str], list[tuple[int, int]]] | Non
         return passes(column)
 
     def of(text: str | None) -> list[dict] | None:
-        return None if text is None else sanitised(find(text), len(text))
+        return None if text is None else sanitised(find, text)
 
     if many:
 

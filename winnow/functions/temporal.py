@@ -22,9 +22,16 @@ from winnow.plans.errors import DateFormatError
 _DATE = r"(\d{4})([-/])(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])"
 _TIME = r"([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:[.,](\d+))?)?"
 _OFFSET = r"([Zz]|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?"
-ISO_DATE, ISO_TIME = f"^{_DATE}$", f"^{_TIME}$"
-ISO_DATE_TIME = f"^{_DATE}[Tt ]{_TIME}{_OFFSET}$"
-_shapes = {name: re.compile(p[:-1] + r"\Z", re.ASCII) for name, p in (("date", ISO_DATE), ("datetime", ISO_DATE_TIME), ("time", ISO_TIME))}
+_DATE_TIME = f"{_DATE}[Tt ]{_TIME}{_OFFSET}"
+_shapes = {name: re.compile(p, re.ASCII) for name, p in (("date", _DATE), ("datetime", _DATE_TIME), ("time", _TIME))}
+
+
+def whole(pattern: str) -> str:
+    """``pattern`` for columns, over all of a text. (Java's ``$`` would let a line feed follow.)"""
+    return rf"^(?:{pattern})\z"
+
+
+ISO_DATE, ISO_TIME, ISO_DATE_TIME = map(whole, (_DATE, _TIME, _DATE_TIME))
 #: The tokens of layouts.
 TOKENS = {"YYYY": r"(\d{4})", "SSS": r"(\d{3})", "MM": r"(\d{2})", "DD": r"(\d{2})", "HH": r"(\d{2})", "mm": r"(\d{2})", "ss": r"(\d{2})"}
 #: The widest instant that the language's dates hold.
@@ -68,14 +75,14 @@ def _offset(text: str | None) -> int:
 
 def detect_format(text: str) -> str | None:
     """Which ISO shape ``text`` has (date, datetime, time), whether or not it names a real day."""
-    return next((name for name, p in _shapes.items() if p.match(text)), None)
+    return next((name for name, p in _shapes.items() if p.fullmatch(text)), None)
 
 
 def parse_iso(text: str) -> Temporal | None:
     shape = detect_format(text)
     if shape is None:
         return None
-    g = _shapes[shape].match(text).groups()
+    g = _shapes[shape].fullmatch(text).groups()
     if shape == "time":
         return Temporal("time", _clock(*g), "time")
     days = _days(int(g[0]), int(g[2]), int(g[3]))
@@ -104,7 +111,7 @@ class Layout:
 
     def read(self, text: str) -> Temporal | bool | None:
         """What ``text`` says; None if it hasn't this layout, False if it names no real day or time."""
-        m = re.match(self.pattern[:-1] + r"\Z", text, re.ASCII)
+        m = re.fullmatch(self.pattern, text, re.ASCII)
         if not m:
             return None
         part = dict(zip(self.tokens, m.groups(), strict=True))
@@ -122,16 +129,16 @@ def layout(text: str) -> Layout:
     tokens, pattern = [], ""
     for m in re.finditer("(" + "|".join(TOKENS) + ")|(.)", text, re.DOTALL):
         if m[1] in tokens and m[1]:
-            raise DateFormatError(f'Date format "{text}": token "{m[1]}" appears more than once')
+            raise DateFormatError(f'The date format "{text}" has {m[1]} twice')
         if m[1]:
             tokens.append(m[1])
         pattern += TOKENS[m[1]] if m[1] else re.escape(m[2])
     days = {"YYYY", "MM", "DD"} & set(tokens)
     if days and len(days) < 3:
-        raise DateFormatError(f'Date format "{text}": a calendar layout must include all of YYYY, MM and DD')
+        raise DateFormatError(f'The date format "{text}" names a day by some of YYYY, MM and DD, and needs all three')
     if not days and not {"HH", "mm"} <= set(tokens):
-        raise DateFormatError(f'Date format "{text}": expected a calendar layout (YYYY, MM, DD) or a clock layout (HH, mm)')
-    return Layout(text, f"^{pattern}$", tuple(tokens))
+        raise DateFormatError(f'The date format "{text}" names neither a day (YYYY, MM, DD) nor a time (HH, mm)')
+    return Layout(text, pattern, tuple(tokens))
 
 
 def from_hook(found: object) -> Temporal | None:
@@ -206,12 +213,13 @@ def text_column(text: Column, domain: str, formats: tuple[str, ...] = (), hook:
     """Milliseconds in ``domain`` of a text column, by the same chain as :func:`resolve`."""
     read, has = [], []
     for f in map(layout, formats):
-        part = {t: _whole(_part(text, f.pattern, i + 1)) for i, t in enumerate(f.tokens)}
+        pattern = whole(f.pattern)
+        part = {t: _whole(_part(text, pattern, i + 1)) for i, t in enumerate(f.tokens)}
         hour, minute, second, fraction = (part.get(t, F.lit(0)) for t in ("HH", "mm", "ss", "SSS"))
-        real = text.rlike(f.pattern) & (hour <= 23) & (minute <= 59) & (second <= 59)
+        real = text.rlike(pattern) & (hour <= 23) & (minute <= 59) & (second <= 59)
         clock = _clock_column(hour, minute, second, fraction)
         value = clock if f.kind == "time" else _instant_column(part["YYYY"], part["MM"], part["DD"], clock)
-        has.append(text.rlike(f.pattern))
+        has.append(text.rlike(pattern))
         read.append((f.kind == "time", F.when(real, value)))
     # The first layout that reads the text decides, in whatever domain it is.
     decided = F.coalesce(*(v for _, v in read)) if read else F.lit(None).cast("long")

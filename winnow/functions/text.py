@@ -94,18 +94,32 @@ def regex_match(text: Column, pattern: str, flags: str = "", max_length: int | N
     literal = rx.plain_text(tree)
     if literal is not None:
         return _each(text, many, lambda t: t.contains(literal) if literal else t.isNotNull())
-    if "m" in flags:
-        return _line_match(text, rx.program(tree), True, many)
+    lines = "m" in flags
     try:
-        re2 = rx.to_re2(tree)
+        re2 = rx.to_re2(tree, lines)
         pc.match_substring_regex(pa.array([""]), re2)
     except pa.ArrowInvalid:  # more memory than RE2 takes
-        return _line_match(text, rx.program(tree), False, many)
-    return _arrow_match(text, re2, many)
+        return _asked(text, lambda texts: _one_by_one(texts, rx.program(tree), lines), many)
+    return _line_match(text, re2, rx.program(tree), many) if lines else _arrow_match(text, re2, many)
 
 
-def _line_match(text: Column, code: list[tuple], multiline: bool, many: bool) -> Column:
-    return _asked(text, lambda texts: pa.array([None if t is None else rx.search(code, t, 0, multiline) is not None for t in texts.to_pylist()], pa.bool_()), many)
+def _one_by_one(texts: pa.Array, code: list[tuple], lines: bool) -> pa.Array:
+    return pa.array([None if t is None else rx.search(code, t, 0, lines) is not None for t in texts.to_pylist()], pa.bool_())
+
+
+#: What ends a line besides a line feed, where RE2 sees no line's end.
+_OTHER_LINE_ENDS = "[\r\u2028\u2029]"
+
+
+def _line_match(text: Column, re2: str, code: list[tuple], many: bool) -> Column:
+    """RE2 for texts whose lines all end by line feeds, and the virtual machine for the others alone."""
+
+    def test(texts: pa.Array) -> pa.Array:
+        odd = pc.fill_null(pc.match_substring_regex(texts, _OTHER_LINE_ENDS), False)
+        hit = pc.match_substring_regex(texts, re2)
+        return pc.replace_with_mask(hit, odd, _one_by_one(texts.filter(odd), code, True)) if pc.any(odd).as_py() else hit
+
+    return _asked(text, test, many)
 
 
 def _backtracking(text: Column, pattern: str, flags: str, many: bool) -> Column:

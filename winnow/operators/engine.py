@@ -7,14 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from functools import cached_property, lru_cache
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions import temporal
 from winnow.plans import recover
-from winnow.plans.compile import HIT, RAISED, Compiled, Compiler, raising
+from winnow.plans.compile import HIT, RAISED, Compiled, Compiler, free_name, raising
 from winnow.plans.errors import ArgumentError, ConfigError, ValueError_
 from winnow.plans.parser import parse
 from winnow.plans.tree import Empty, Node
@@ -90,7 +90,10 @@ class Engine:
         made = []
         for t in self.options.types:
             if not isinstance(t, ValueType) and callable(t):
-                t = t(lambda name: self.registry.get(name))
+                try:
+                    t = t(lambda name: self.registry.get(name))
+                except Exception as e:
+                    raise ConfigError(f"A function that makes a value type failed: {e}", option="types") from e
             if not isinstance(t, ValueType):
                 raise ConfigError(f"Not a value type: {t!r}", option="types")
             made.append(t)
@@ -131,6 +134,17 @@ class Engine:
         compiled, _ = self._compiled(query, schema, per_call)
         return raising(compiled)
 
+    def _checked(self, df: DataFrame, predicate: Column) -> Column:
+        """``predicate``, if it is one: a custom type's methods may have made it of something else than booleans."""
+        if self.options.types:
+            try:
+                kind = df.select(predicate).schema[0].dataType
+            except AnalysisException as e:
+                raise ConfigError(f"A value type's methods don't make a predicate: {e}", option="types") from e
+            if not isinstance(kind, T.BooleanType):
+                raise ConfigError(f"A value type's method makes {kind.simpleString()} values where booleans are due", option="types")
+        return predicate
+
     # Verbs
 
     def filter(self, query: str | Node, df: DataFrame, **per_call) -> DataFrame:
@@ -138,16 +152,16 @@ class Engine:
         _check_frame(df)
         compiled, options = self._compiled(query, df.schema, per_call)
         if options.on_value_error == "throw" and compiled.bad:
-            return df.filter(raising(compiled))
+            return df.filter(self._checked(df, raising(compiled)))
         if compiled.predicate is True:
             return df
-        return df.filter(F.lit(False) if compiled.predicate is False else compiled.predicate)
+        return df.filter(F.lit(False) if compiled.predicate is False else self._checked(df, compiled.predicate))
 
     def test(self, query: str | Node, df: DataFrame, name: str = "matched", **per_call) -> DataFrame:
         """``df`` with a boolean column: whether each row matches."""
         _check_frame(df)
         compiled, _ = self._compiled(query, df.schema, per_call)
-        return df.withColumn(name, raising(compiled))
+        return df.withColumn(name, self._checked(df, raising(compiled)))
 
     def highlight(self, query: str | Node, df: DataFrame, name: str = "highlights", **per_call) -> DataFrame:
         """``df`` with an array of what made each row match: paths, and spans in code points where there are some.
@@ -159,10 +173,11 @@ class Engine:
         shown = [c for c in df.columns if c != name]
         ready = df.withColumns(compiled.prepared) if compiled.prepared else df
         # Spans are worked out first, in a projection of their own: Python can't run inside a lambda's expression.
-        hits = ready.withColumn("__hits", F.when(raising(compiled), compiled.hits).otherwise(F.array().cast(f"array<{HIT}>")))
-        found = F.array_distinct("__hits")
-        located = F.transform(F.filter(found, lambda h: h["ranges"].isNotNull()), lambda h: h["path"])
-        kept = F.filter(found, lambda h: h["ranges"].isNotNull() | ~F.array_contains(located, h["path"]))
+        raw = free_name("__hits", ready.columns)
+        hits = ready.withColumn(raw, F.when(raising(compiled), compiled.hits).otherwise(F.array().cast(f"array<{HIT}>")))
+        found = F.array_distinct(raw)
+        located = F.transform(F.filter(found, lambda h: h["ranges"].isNotNull()), lambda h: h["segments"])
+        kept = F.filter(found, lambda h: h["ranges"].isNotNull() | ~F.array_contains(located, h["segments"]))
         return hits.select(*(F.col(f"`{c.replace('`', '``')}`") for c in shown), kept.alias(name))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from winnow.plans import types as V
 from winnow.plans.errors import OperandError
 from winnow.plans.limits import deep_recursion
-from winnow.plans.paths import INDEX, Candidate, at_path, leaves
+from winnow.plans.paths import Candidate, at_path, leaves
 from winnow.plans.tree import Empty, Field, Group, Literal, Logical, Missing, Node, Range, Regex, Tag, Unary, Wildcard, field_path, operands
 
 HIT = "struct<path:string,segments:array<string>,ranges:array<struct<start:int,end:int>>>"
@@ -72,6 +72,20 @@ def _no_hits() -> Column:
     return F.array().cast(f"array<{HIT}>")
 
 
+def _whole(text: Column, context: V.Context) -> Column:
+    """One span over all of a text; none where folding it changes its length, since places in it mean nothing then."""
+    span = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end")))
+    return span if context.case_sensitive else F.when(F.length(F.lower(text)) == F.length(text), span)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or one like it that no column has."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def _source(node: Node) -> str:
     match node:
         case Literal():
@@ -86,6 +100,7 @@ def _source(node: Node) -> str:
 class Compiler:
     def __init__(self, schema: T.StructType, options, registry: V.Registry, strict: bool = False, highlight: bool = False):
         self.schema, self.options, self.registry, self.strict, self.highlight = schema, options, registry, strict, highlight
+        self.settings = V.Settings(options.match_keys, options.regex_guard, options.max_pattern_length)
         #: Columns that highlights refer to by name: Python functions can't stand inside a lambda.
         self.prepared: dict[str, Column] = {}
 
@@ -152,7 +167,7 @@ class Compiler:
         if isinstance(node, Range):
             return self.range(node, field, exact)
         site = "scan" if field is None else {":": "match", ":=": "equality"}.get(operator, "ordered")
-        context = V.Context(site, exact and field is not None, self.options, self.registry.get)
+        context = V.Context(site, exact and field is not None, self.settings, self.registry.get)
         kind, operand = self.registry.resolve(node, context, _source(node))
         on_null = kind.name == "null"
 
@@ -198,25 +213,27 @@ class Compiler:
         from winnow.functions.spans import all_spans
 
         c, test = found
-        how = kind.spans(operand, context) if isinstance(c.kind, T.StringType) else None
+        try:
+            how = kind.spans(operand, context) if isinstance(c.kind, T.StringType) else None
+        except Exception:  # noqa: BLE001 - a custom type's method; the match itself stands
+            how = None
         if not c.many:
-            ranges = F.array(F.struct(F.lit(0).alias("start"), F.length(c.column).alias("end"))) if how == "whole" else all_spans(c.column, how, False) if how else F.lit(None)
+            ranges = _whole(c.column, context) if how == "whole" else all_spans(c.column, how, False) if how else F.lit(None)
             return F.array(F.struct(F.lit(".".join(c.path)).alias("path"), F.array(*map(F.lit, c.path)).alias("segments"), ranges.alias("ranges")).cast(HIT))
         spans = self.prepare(all_spans(c.column, how, True)) if callable(how) else None
         tested = isinstance(c.kind, T.StringType) and kind.exists(F.array(), operand, context) is not None
         passes = self.prepare(all_spans(c.column, None, True, kind, operand, context)) if tested else None
 
-        def one(x: Column, i: Column) -> Column:
-            segments = F.array(*(i.cast("string") if p is INDEX else F.lit(p) for p in c.path))
-            ranges = F.get(spans, i) if spans is not None else F.array(F.struct(F.lit(0).alias("start"), F.length(x).alias("end"))) if how == "whole" else F.lit(None)
-            here = F.struct(F.array_join(segments, ".").alias("path"), segments.alias("segments"), ranges.alias("ranges")).cast(HIT)
-            passed = F.get(passes, i) if passes is not None else closed(test(x, c.kind))
+        def one(p: Column, i: Column) -> Column:
+            ranges = F.get(spans, i) if spans is not None else _whole(p["value"], context) if how == "whole" else F.lit(None)
+            here = F.struct(F.array_join(p["at"], ".").alias("path"), p["at"].alias("segments"), ranges.alias("ranges")).cast(HIT)
+            passed = F.get(passes, i) if passes is not None else closed(test(p["value"], c.kind))
             return F.when(passed, here)
 
-        return F.filter(F.transform(c.column, one), lambda h: h.isNotNull())
+        return F.filter(F.transform(c.located, one), lambda h: h.isNotNull())
 
     def prepare(self, column: Column) -> Column:
-        name = f"__winnow_{len(self.prepared)}"
+        name = free_name(f"__winnow_{len(self.prepared)}", self.schema.names)
         self.prepared[name] = column
         return F.col(name)
 
@@ -247,7 +264,7 @@ class Compiler:
     def range(self, node: Range, field: Field | None, exact: bool) -> Compiled:
         if field is None:
             return Compiled(False, hits=self.none())
-        context = V.Context("range", exact, self.options, self.registry.get)
+        context = V.Context("range", exact, self.settings, self.registry.get)
         sides = [(b, *self.registry.resolve(b.value, context, _source(b.value))) if b.value is not None else None for b in (node.lower, node.upper)]
         bare = lambda c: self.hit(c, V.ValueType(), None, context)
         if sides == [None, None]:
@@ -256,9 +273,9 @@ class Compiler:
         if all(sides):
             (_, low, a), (_, high, b) = sides
             if low.name != high.name:
-                raise OperandError(f'Range boundaries resolved to different types: "{low.name}" and "{high.name}"', "MIXED_RANGE_TYPES", span=node.location)
+                raise OperandError(f'One bound of this range is a "{low.name}" and the other a "{high.name}"', "MIXED_RANGE_TYPES", span=node.location)
             if not low.comparable(a, b):
-                raise OperandError("Range boundaries are not comparable with each other", "MIXED_RANGE_TYPES", span=node.location)
+                raise OperandError("The two bounds of this range have no common order", "MIXED_RANGE_TYPES", span=node.location)
 
         def test(column: Column, column_type: T.DataType) -> Column | None:
             reading = kind.read(column, column_type, operand, context)

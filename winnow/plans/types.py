@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import UTC
 from decimal import Decimal
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,18 +20,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from winnow.functions import numbers, temporal
 from winnow.functions.text import glob, regex_match
-from winnow.plans.errors import ArgumentError, ConfigError, OperandError
+from winnow.plans.errors import ArgumentError, ConfigError, OperandError, QueryError
 from winnow.plans.tree import ORDERINGS, Literal, Node, Regex, Wildcard
 
 #: What happens to a value that a clause can't use: by site, for a value of another type (miss), one that is no
 #: value of the type (invalid), and one that can't be compared with the operand.
-VALUE_FAILURE_POLICY = {
-    "scan": {"miss": "no-match", "invalid": "no-match", "incomparable": "no-match"},
-    "match": {"miss": "no-match", "invalid": "value-error", "incomparable": "no-match"},
-    "equality": {"miss": "no-match", "invalid": "value-error", "incomparable": "no-match"},
-    "ordered": {"miss": "value-error", "invalid": "value-error", "incomparable": "value-error"},
-    "range": {"miss": "value-error", "invalid": "value-error", "incomparable": "value-error"},
-}
+VALUE_FAILURE_POLICY = MappingProxyType({
+    "scan": MappingProxyType({"miss": "no-match", "invalid": "no-match", "incomparable": "no-match"}),
+    "match": MappingProxyType({"miss": "no-match", "invalid": "value-error", "incomparable": "no-match"}),
+    "equality": MappingProxyType({"miss": "no-match", "invalid": "value-error", "incomparable": "no-match"}),
+    "ordered": MappingProxyType({"miss": "value-error", "invalid": "value-error", "incomparable": "value-error"}),
+    "range": MappingProxyType({"miss": "value-error", "invalid": "value-error", "incomparable": "value-error"}),
+})
 BUILTIN_TYPE_ORDER = ("regex", "null", "boolean", "wildcard", "datetime", "number", "string")
 
 
@@ -55,13 +56,22 @@ class Reading:
     invalid: Column | None = None
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What of an engine's options a value type may see: not the failure policy, which is the engine's own."""
+
+    match_keys: bool = False
+    regex_guard: bool = True
+    max_pattern_length: int | None = None
+
+
 @dataclass(frozen=True)
 class Context:
     """What an operand is read with."""
 
     site: str = "match"  # scan, match, equality, ordered or range
     case_sensitive: bool = False
-    options: object = None
+    options: Settings = Settings()
     lookup: Callable = lambda name: None
 
 
@@ -100,10 +110,19 @@ class ValueType:
         return None
 
 
+def _coerced(coerce: Callable[[object], object | None], text: str) -> object | None:
+    try:
+        return coerce(text)
+    except Exception:  # noqa: BLE001 - a custom type's function: what it can't take is no value of it
+        return None
+
+
 def coerced(name: str, claim: Callable[[str], object | None], coerce: Callable[[object], object | None], result: str, ordered: bool = True) -> ValueType:
     """A custom type from two Python functions: of the operand's text, and of a column's text (None: not a value).
 
-    Values are coerced in Arrow batches to the Spark type ``result``, whose own equality and order are used.
+    Values are coerced in Arrow batches to the Spark type ``result``, whose own equality and order are used. A text for
+    which ``coerce`` raises is invalid, as one for which it returns None; a result of another type than ``result`` is
+    the type's defect and fails the job with a message that names the type.
     """
 
     class Custom(ValueType):
@@ -120,7 +139,11 @@ def coerced(name: str, claim: Callable[[str], object | None], coerce: Callable[[
 
             @F.arrow_udf(result)
             def values(texts: pa.Array) -> pa.Array:
-                return pa.array([None if t is None else coerce(t) for t in texts.to_pylist()], arrow)
+                read = [None if t is None else _coerced(coerce, t) for t in texts.to_pylist()]
+                try:
+                    return pa.array(read, arrow)
+                except (pa.ArrowInvalid, pa.ArrowTypeError, TypeError) as e:
+                    raise ConfigError(f'Value type "{name}": coerce must return {result} or None ({e})', option="types") from e
 
             read = values(column)
             return Reading(read, column.isNotNull() & read.isNull())
@@ -332,10 +355,12 @@ class _Datetime(ValueType):
 
     def _from_number(self, column, kind, operand, none):
         """Epoch milliseconds; a layout of digits alone reads a number of its width first, and none else may."""
-        millis = column.try_cast("long") if not isinstance(kind, _INTEGERS) else column.cast("long")
-        whole = F.abs(millis) <= temporal.MAX_INSTANT
+        millis = column if isinstance(kind, T.LongType) else column.cast("long") if isinstance(kind, _INTEGERS) else column.try_cast("long")
+        whole = (millis <= temporal.MAX_INSTANT) & (millis >= -temporal.MAX_INSTANT)
         value = F.when(whole, millis)
         widths = [w for f in self.formats if (w := temporal.layout(f).digits)]
+        if not widths and operand.domain == "instant" and isinstance(kind, _INTEGERS):
+            value = millis  # bare, for the scan; `test` keeps within the instants
         if widths:
             text = millis.cast("string")
             by_layout = temporal.text_column(text, operand.domain, self.formats)
@@ -381,12 +406,27 @@ def test(kind: ValueType, reading: Reading, column_type: T.DataType, operator: s
             bound = _moment(operand, column_type)
             if bound is None:  # before year 1: every timestamp that Spark reads from files is later
                 return value.isNotNull() if operator in (":>", ":>=") else F.lit(False)
-        return value == bound if operator in (":", ":=") else ValueType.compare(kind, value, operator, bound, context)
-    if operator == ":":
-        return kind.matches(value, operand, context)
-    if operator == ":=":
-        return kind.equals(value, operand, context)
-    return kind.compare(value, operator, operand, context)
+        if operator in (":", ":="):
+            return value == bound
+        out = ValueType.compare(kind, value, operator, bound, context)
+        if isinstance(column_type, T.LongType) and not between:
+            out = out & (value <= temporal.MAX_INSTANT if operator in (":>", ":>=") else value >= -temporal.MAX_INSTANT)
+        return out
+    return _custom(kind, reading.value, operator, operand, context)
+
+
+def _custom(kind: ValueType, value: Column, operator: str, operand: object, context: Context) -> Column:
+    """What a type's own method says of values; anything but a Column is the type's defect."""
+    method = {":": "matches", ":=": "equals"}.get(operator, "compare")
+    try:
+        out = kind.compare(value, operator, operand, context) if method == "compare" else getattr(kind, method)(value, operand, context)
+    except QueryError:
+        raise
+    except Exception as e:
+        raise ConfigError(f'Value type "{kind.name}": {method} failed ({e})', option="types") from e
+    if not isinstance(out, Column):
+        raise ConfigError(f'Value type "{kind.name}": {method} must return a Column of booleans, not {type(out).__name__}', option="types")
+    return out
 
 
 # The registry
@@ -419,7 +459,12 @@ class Registry:
     def resolve(self, operand: Node, context: Context, raw: str) -> tuple[ValueType, object]:
         """The first type that claims the operand, and its reading; raises where one calls it malformed or none claims it."""
         for kind in self.types:
-            found = kind.parse_operand(operand, context)
+            try:
+                found = kind.parse_operand(operand, context)
+            except QueryError:
+                raise
+            except Exception as e:
+                raise OperandError(f'Value type "{kind.name}" failed on the operand {raw}: {e}', raw=raw) from e
             if isinstance(found, Malformed):
                 raise OperandError(f"{found.reason} ({raw})", raw=raw)
             if found is not None:
@@ -443,4 +488,4 @@ def disposition(site: str, kind: str) -> str:
         raise ArgumentError(f"No policy for {kind} at {site}") from None
 
 
-__all__ = ["BUILTIN_TYPE_ORDER", "DECLINED", "ORDERINGS", "VALUE_FAILURE_POLICY", "Claimed", "Context", "Malformed", "Reading", "Registry", "ValueType", "builtin_types", "coerced", "disposition", "test"]
+__all__ = ["BUILTIN_TYPE_ORDER", "DECLINED", "ORDERINGS", "VALUE_FAILURE_POLICY", "Claimed", "Context", "Malformed", "Reading", "Registry", "Settings", "ValueType", "builtin_types", "coerced", "disposition", "test"]

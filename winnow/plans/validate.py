@@ -77,8 +77,3 @@ def check_tree(tree: object) -> None:
             _complain(node, "no expression")
         below = grouped or isinstance(node, Tag) and isinstance(node.expression, Group)
         stack += [(c, depth + 1, below) for c in children(node)]
-
-
-def check_expansion(tree: Node) -> None:
-    """A long source must not expand to a tree beyond the size that every verb accepts."""
-    check_tree(tree)
