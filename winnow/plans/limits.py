@@ -1,6 +1,7 @@
 """Limits of queries and trees. Fixed values of the language."""
 
 import sys
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 MAX_DEPTH = 200
@@ -15,11 +16,12 @@ SHORT_SOURCE = 15_625
 
 
 @contextmanager
-def deep_recursion():
-    """Room for recursion over trees of MAX_DEPTH levels, several calls a level."""
-    before = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(before, 20_000))
-    try:
-        yield
-    finally:
-        sys.setrecursionlimit(before)
+def deep_recursion() -> Iterator[None]:
+    """Room for recursion over trees of MAX_DEPTH levels, several calls a level.
+
+    The limit is the interpreter's: it is raised once and stays, since lowering it again could fail another thread that
+    is deep in a tree of its own.
+    """
+    if sys.getrecursionlimit() < 20_000:
+        sys.setrecursionlimit(20_000)
+    yield
