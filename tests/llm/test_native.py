@@ -3,7 +3,7 @@
 import hashlib
 
 from tests.llm import brute
-from winnow.llm import decontam, line_dedup
+from winnow.llm import decontam, line_dedup, neardup
 from winnow.llm.oracles import oracle_sql
 
 ITEMS = {"7": " ".join(f"bench{i}" for i in range(30)), "10": "short Item", "2": " ".join(f"w{i}" for i in range(5, 25)), "3": None, "4": "...", "5": "one"}
@@ -53,8 +53,22 @@ def test_rows_of_one_doc_id_have_verdicts_of_their_own(spark):
 def test_a_large_benchmark_is_broadcast_in_blocks(spark, monkeypatch):
     docs, items = brute.documents(spark, _texts()), _items(spark)
     whole = sorted(map(str, decontam.report(docs, items).collect()))
-    monkeypatch.setattr(decontam, "MAX_BROADCAST_GRAMS", 7)
-    assert sorted(map(str, decontam.report(docs, items).collect())) == whole
+    for grams, size, hashes in ((7, 1 << 28, 1000), (1000, 100, 1000), (7, 100, 5)):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_GRAMS", grams)
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", size)
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_HASHES", hashes)
+        assert sorted(map(str, decontam.report(docs, items).collect())) == whole
+
+
+def test_marks_too_large_to_broadcast_are_exchanged(spark):
+    docs = brute.documents(spark, _texts() + [(i, "a line that a few documents share, in any case") for i in range(60, 64)])
+    run = lambda: [sorted(map(str, df.collect())) for df in (line_dedup.dedup_lines(docs), decontam.decontaminate(docs, _items(spark)), neardup.keep_one(docs))]
+    small, before = run(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_a_passage_of_very_many_items_is_one_small_row_of_the_broadcast(spark):

@@ -2,9 +2,11 @@
 
 Each document's words are exploded inside one generated stage; a row's n-gram hash probes the broadcast table of
 benchmark n-grams, and the words themselves are compared on a hit. Neither words nor n-grams are shuffled: what
-leaves the stage is one row a document and one a hit. The table is broadcast in blocks bounded in n-grams and in
-bytes, one scan a block. It names the items that hold an n-gram by a key of their set; the sets are a table of their
-own, which only documents with hits are joined with.
+leaves the stage is one row a document and one a hit. The table names the items that hold an n-gram by a key of their
+set; the sets are a table of their own, which only documents with hits are joined with.
+
+A benchmark with more n-grams than may be broadcast with their words is broadcast as hashes alone, many to a block and
+one scan a block. Only words whose hash is found leave that scan, with their n-gram, and meet the benchmark in a join.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import ALNUM_WORD, ascii_lower, fresh, text_keys, written
+from winnow.llm.shared import ALNUM_WORD, ascii_lower, fresh, joinable, text_keys, written
 
 #: Of n-grams in one broadcast, and of the bytes of their words with what a row takes beside them.
 MAX_BROADCAST_GRAMS, MAX_BROADCAST_BYTES, ROW_BYTES = 1_000_000, 1 << 28, 64
+#: Of hashes alone in one broadcast: at some 64 bytes each, 256 MB.
+MAX_BROADCAST_HASHES = 4_000_000
 #: Copies of one row that are made at a time.
 COPIES = 4096
 
@@ -51,7 +55,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> tuple[DataFra
     """
     grams = written(benchmark_grams(benchmark, n), "grams")
     sizes = grams.groupBy("n").agg(F.count("*").alias("count"), F.sum(F.octet_length(F.array_join("gram", " ")) + ROW_BYTES).alias("bytes")).orderBy("n").collect()  # n rows at most
-    blocks = max(1, -(-sum(r["count"] for r in sizes) // MAX_BROADCAST_GRAMS), -(-sum(r["bytes"] for r in sizes) // MAX_BROADCAST_BYTES))
+    total = sum(r["count"] for r in sizes)
+    whole = total <= MAX_BROADCAST_GRAMS and sum(r["bytes"] for r in sizes) <= MAX_BROADCAST_BYTES
     lengths = [r["n"] for r in sizes] or [n]
     h1, h2 = text_keys(F.col("text"))
     texts = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), words(F.coalesce("text", F.lit(""))).alias("words"))
@@ -65,21 +70,39 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> tuple[DataFra
     # The null row comes once for each length, and counts once.
     last = (F.col("pos") == F.size("words")) & (F.col("len") == lengths[0])
     table = grams.select(F.col("n").alias("g_len"), "gram", "s1", "s2", reduce(lambda done, k: F.when(F.col("n") == k, _gram_hash(F.col("gram"), F.lit(0), k)).otherwise(done), lengths, F.lit(None).cast("long")).alias("g_hash"))
-    found = []
-    for b in range(blocks):
-        part = table if blocks == 1 else table.where(F.pmod("g_hash", F.lit(blocks)) == b)
-        same = (F.col("hash") == F.col("g_hash")) & (F.col("len") == F.col("g_len")) & (F.slice("words", F.col("pos") + 1, F.col("len")) == F.col("gram"))
+    here = F.slice("words", F.col("pos") + 1, F.col("len"))
+    span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))
+    if whole:
         hit = F.col("gram").isNotNull()
-        joined = probes.join(F.broadcast(part), same, "left").where(last | hit if b == 0 else hit)
-        n_words = F.when(last, F.col("pos")) if b == 0 else F.lit(None).cast("int")
-        found.append(joined.select("doc_id", "h1", "h2", n_words.alias("n_words"), F.when(hit, F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))).alias("span"), F.when(hit, F.struct("s1", "s2")).alias("set")))
-    merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", "h1", "h2").agg(
+        joined = probes.join(F.broadcast(table), (F.col("hash") == F.col("g_hash")) & (F.col("len") == F.col("g_len")) & (here == F.col("gram")), "left").where(last | hit)
+        found = joined.select("doc_id", "h1", "h2", F.when(last, F.col("pos")).alias("n_words"), F.when(hit, span).alias("span"), F.when(hit, F.struct("s1", "s2")).alias("set"))
+    else:
+        found = _by_hashes(probes, table, total, last, here, span)
+    merged = found.groupBy("doc_id", "h1", "h2").agg(
         F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("set").alias("sets"),
     )
     return merged, grams.groupBy("s1", "s2").agg(F.first("items").alias("items"))
 
 
+def _by_hashes(probes: DataFrame, table: DataFrame, total: int, last: Column, here: Column, span: Column) -> DataFrame:
+    """The rows (doc_id, h1, h2, n_words, span, set) of a benchmark whose words aren't broadcast."""
+    blocks = -(-total // MAX_BROADCAST_HASHES)
+    known = F.col("known").isNotNull()
+    each = []
+    for b in range(blocks):
+        hashes = table.where(F.pmod("g_hash", F.lit(blocks)) == b).select(F.col("g_hash").alias("known")).distinct()
+        rows = probes.join(F.broadcast(hashes), F.col("hash") == F.col("known"), "left").where(last | known if b == 0 else known)
+        n_words = F.when(last, F.col("pos")) if b == 0 else F.lit(None).cast("int")
+        each.append(rows.select("doc_id", "h1", "h2", n_words.alias("n_words"), "hash", "len", F.when(known, here).alias("own"), span.alias("span")))
+    # Written, so that the corpus is read once a block, and the join may split an n-gram that very many documents hold.
+    kept = written(reduce(DataFrame.unionByName, each), "candidates")
+    same = (F.col("hash") == F.col("g_hash")) & (F.col("len") == F.col("g_len")) & (F.col("own") == F.col("gram"))
+    real = kept.where("own IS NOT NULL").join(table, same).select("doc_id", "h1", "h2", F.lit(None).cast("int").alias("n_words"), "span", F.struct("s1", "s2").alias("set"))
+    counts = kept.where("n_words IS NOT NULL").select("doc_id", "h1", "h2", "n_words", F.lit(None).cast(real.schema["span"].dataType).alias("span"), F.lit(None).cast(real.schema["set"].dataType).alias("set"))
+    return real.unionByName(counts)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans and items, the ids of the items found, sorted as strings."""
     found, sets = scanned(docs, benchmark, n)
@@ -147,6 +170,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFra
     marks = written(found.select(F.col("doc_id").alias(key), F.col("h1").alias(m1), F.col("h2").alias(m2), _contaminated(n_hit(F.col("spans")), F.col("n_words")).alias(bad), joined_spans(F.col("spans")).alias(spans)), "marks")
     keyed = docs.withColumns(dict(zip((k1, k2), text_keys(F.col("text")), strict=True)))
     same = (F.col(k1) == F.col(m1)) & (F.col(k2) == F.col(m2)) & F.col("doc_id").eqNullSafe(F.col(key))
-    joined = keyed.join(marks.hint("shuffle_hash"), same, "left")
+    joined = keyed.join(joinable(marks), same, "left")
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col(spans)))
     return joined.where(~F.coalesce(bad, F.lit(False))).withColumn("text", text).select(*docs.columns)

@@ -61,6 +61,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _tables.extend(before)
 
 
+def joinable(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join that brings marks to texts.
+
+    While its files are within Spark's own bound for it (spark.sql.autoBroadcastJoinThreshold), it is broadcast and the
+    texts stay where they are; beyond that both sides are exchanged and the marks are hashed, so no text is sorted.
+    """
+    most = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= most else table.hint("shuffle_hash")
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """For each of ``names`` one like it that no column has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []
