@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import hyperminhash as hmh
 from winnow.llm.components import components
-from winnow.llm.shared import fresh, map_batches, salt_of_nulls, written
+from winnow.llm.shared import fresh, joinable, map_batches, salt_of_nulls, written
 from winnow.llm.textscan import blocks
 
 #: Standard errors of an estimate by which a pair may fall short of the threshold and still be verified.
@@ -259,4 +259,4 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     own, salt, none = fresh(docs.columns, "gone", "salt", "none")
     gone = groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias(own), F.lit(0).cast("long").alias(none)).distinct()
     salted = docs.withColumn(salt, salt_of_nulls(F.col("doc_id"), F.col("text")))
-    return salted.join(gone, (F.col("doc_id") == F.col(own)) & (F.col(salt) == F.col(none)), "left_anti").select(*docs.columns)
+    return salted.join(joinable(written(gone, "gone")), (F.col("doc_id") == F.col(own)) & (F.col(salt) == F.col(none)), "left_anti").select(*docs.columns)
