@@ -103,6 +103,14 @@ class Compiler:
         self.settings = V.Settings(options.match_keys, options.regex_guard, options.max_pattern_length)
         #: Columns that highlights refer to by name: Python functions can't stand inside a lambda.
         self.prepared: dict[str, Column] = {}
+        self._at: dict[tuple[str, ...], Candidate | None] = {}
+
+    def at(self, field: Field) -> Candidate | None:
+        """The candidate of a path, made once: each call of a Spark function costs a call of the JVM."""
+        path = field_path(field)
+        if path not in self._at:
+            self._at[path] = at_path(self.schema, path)
+        return self._at[path]
 
     def compile(self, tree: Node) -> Compiled:
         with deep_recursion():
@@ -150,7 +158,7 @@ class Compiler:
     def candidates(self, field: Field | None, on_null: bool) -> list[Candidate]:
         if field is None:
             return list(leaves(self.schema, on_null, self.options.match_keys))
-        found = at_path(self.schema, field_path(field))
+        found = self.at(field)
         if found is None:
             return []
         if not isinstance(found.kind, T.ArrayType):
@@ -180,7 +188,7 @@ class Compiler:
 
         out = self.over(field, test, many, on_null, lambda c: self.hit(c, kind, operand, context))
         if kind.name == "string" and field is not None and not self.highlight:
-            found = at_path(self.schema, field_path(field))
+            found = self.at(field)
             if found is not None and isinstance(found.kind, T.StringType) and not found.many:
                 key = f"{'=' if context.case_sensitive else '~'}{found.path}"
                 out.equality = (key, found.column if context.case_sensitive else F.lower(found.column), operand if context.case_sensitive else operand.lower())
@@ -192,13 +200,15 @@ class Compiler:
         """The predicate (and highlights) of any candidate's passing the test."""
         tests, hits = [], []
         for c in self.candidates(field, on_null):
-            if test(F.lit(None).cast(c.kind) if c.many else c.column, c.kind) is None:
-                continue
             if c.many:
+                if test(F.lit(None).cast(c.kind), c.kind) is None:
+                    continue
                 whole = many(c.column) if isinstance(c.kind, T.StringType) else None
                 passed = _exists(c, test) if whole is None else whole
             else:
                 passed = test(c.column, c.kind)
+                if passed is None:
+                    continue
                 if on_null and c.guard is not None:
                     passed = c.guard & passed
             if c.guard is not None and c.path and not on_null and isinstance(c.kind, T.StringType) and field is None and self.options.match_keys:
@@ -246,7 +256,8 @@ class Compiler:
             miss = of["miss"] == "value-error"
             if reading is None:
                 return F.lit(True) if miss else None
-            invalid = F.lit(False) if reading.invalid is None else F.coalesce(reading.invalid, F.lit(False))
+            invalid = reading.invalid() if callable(reading.invalid) else reading.invalid
+            invalid = F.lit(False) if invalid is None else F.coalesce(invalid, F.lit(False))
             return invalid | reading.value.isNull() if miss else invalid
 
         told = {"code": "VALUE", "field": ".".join(field_path(field)), "type": kind.name, "site": context.site}

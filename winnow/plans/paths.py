@@ -34,7 +34,8 @@ def _below(at: Column, step: Column) -> Column:
 
 @dataclass(frozen=True)
 class Candidate:
-    column: Column
+    #: None of the root, which is no value.
+    column: Column | None
     kind: T.DataType
     path: tuple = ()
     many: bool = False
@@ -118,7 +119,7 @@ def _readable(kind: T.DataType, path: tuple) -> None:
 
 def at_path(schema: T.StructType, path: tuple[str, ...]) -> Candidate | None:
     """The candidate that ``path`` names, an array unopened; None if no row can have one."""
-    here = Candidate(F.lit(None), schema, root=True)
+    here = Candidate(None, schema, root=True)
     for name in path:
         _readable(here.kind, here.path)
         index = int(name) if name.isascii() and name.isdigit() and str(int(name)) == name else None
@@ -163,4 +164,4 @@ def leaves(schema: T.StructType, nulls: bool, keys: bool) -> Iterator[Candidate]
             _readable(c.kind, c.path)
             yield c
 
-    yield from below(Candidate(F.lit(None), schema, root=True))
+    yield from below(Candidate(None, schema, root=True))

@@ -50,10 +50,13 @@ DECLINED = None
 
 @dataclass(frozen=True)
 class Reading:
-    """A column's values as a type reads them (null where it can't), and which values are invalid."""
+    """A column's values as a type reads them (null where it can't), and which values are invalid.
+
+    ``invalid`` may be a function that makes the condition: only a strict policy asks for it.
+    """
 
     value: Column
-    invalid: Column | None = None
+    invalid: Column | Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -294,8 +297,7 @@ class _Number(ValueType):
 
     def read(self, column, kind, operand, context):
         if isinstance(kind, (T.FloatType, T.DoubleType)):
-            endless = F.isnan(column) | (F.abs(column) == float("inf"))
-            return Reading(column, endless)
+            return Reading(column, lambda: F.isnan(column) | (F.abs(column) == float("inf")))
         if isinstance(kind, (*_INTEGERS, T.DecimalType)):
             return Reading(column)
         return Reading(numbers.number_column(column)) if isinstance(kind, T.StringType) else None
@@ -347,8 +349,7 @@ class _Datetime(ValueType):
             return Reading(column if instant else none)
         if isinstance(kind, T.StringType):
             either = lambda d: temporal.text_column(column, d, self.formats, self.hook)
-            invalid = column.isNotNull() & either("instant").isNull() & either("time").isNull()
-            return Reading(either(operand.domain), invalid)
+            return Reading(either(operand.domain), lambda: column.isNotNull() & either("instant").isNull() & either("time").isNull())
         if isinstance(kind, (*_INTEGERS, T.FloatType, T.DoubleType, T.DecimalType)):
             return self._from_number(column, kind, operand, none)
         return None
@@ -357,18 +358,16 @@ class _Datetime(ValueType):
         """Epoch milliseconds; a layout of digits alone reads a number of its width first, and none else may."""
         millis = column if isinstance(kind, T.LongType) else column.cast("long") if isinstance(kind, _INTEGERS) else column.try_cast("long")
         whole = (millis <= temporal.MAX_INSTANT) & (millis >= -temporal.MAX_INSTANT)
-        value = F.when(whole, millis)
         widths = [w for f in self.formats if (w := temporal.layout(f).digits)]
-        if not widths and operand.domain == "instant" and isinstance(kind, _INTEGERS):
-            value = millis  # bare, for the scan; `test` keeps within the instants
+        # Bare, for the scan, where it can be: `test` keeps within the instants.
+        value = millis if not widths and operand.domain == "instant" and isinstance(kind, _INTEGERS) else F.when(whole, millis)
         if widths:
             text = millis.cast("string")
             by_layout = temporal.text_column(text, operand.domain, self.formats)
             value = F.when(F.length(text).isin(widths), by_layout).otherwise(value if operand.domain == "instant" else none)
         elif operand.domain != "instant":
             value = none
-        bad = column.isNotNull() & ~F.coalesce(whole, F.lit(False))
-        return Reading(value, bad)
+        return Reading(value, lambda: column.isNotNull() & ~F.coalesce(whole, F.lit(False)))
 
 
 def _moment(operand: temporal.Temporal, kind: T.DataType):
