@@ -240,6 +240,17 @@ def _deep(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, {"colour": "red"}, [None, ("x",)], [[1, 2], None, [3, 2]], "İstanbul", "q", ("q",)), (2, {"red": "blue"}, [("x",), ("x",)], [[2]], "Bursa", None, None)], schema)
 
 
+def _keyed(spark: SparkSession) -> DataFrame:
+    """Maps inside arrays, and inside structs inside arrays."""
+    schema = "id int, m array<map<string,int>>, s array<struct<name:string,deep:map<string,int>>>"
+    return spark.createDataFrame([(1, [{"shade": 1}, None], [("x", None)]), (2, None, [("y", {"shade": 2})]), (3, [{"other": 1}], [None])], schema)
+
+
+def _years(spark: SparkSession) -> DataFrame:
+    texts = ["0099-12-31", "0000-02-29", "0100-01-01", "0001-01-01T00:30+01:00", "1999-01-01", "0099/06/15"]
+    return spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+
+
 def _lit(query: str, **options) -> Query:
     """The highlights of the small nested table, a row each."""
 
@@ -305,6 +316,11 @@ def queries() -> dict[str, Query]:
         "highlight_dedupe": _lit("a.b:[* TO *] 'a.b':q"),
         "highlight_both_ways": _orders("o_orderstatus:f AND o_orderstatus:*f* AND o_orderstatus:[* TO *]"),
         "highlight_sanitised": _orders("o_orderstatus:anything", types=(_Broken(**garbage),)),
+        "path_quoted": lambda spark, folder: Engine().filter("'a.b':q AND a.'b':Q", _deep(spark)).select("id"),
+        "path_nested_index": lambda spark, folder: Engine().filter("n.2.0:3 OR items.0.v:X", _deep(spark)).select("id"),
+        "keys_inside_arrays": lambda spark, folder: Engine(match_keys=True).filter("shade", _keyed(spark)).select("id"),
+        "keys_are_no_values": lambda spark, folder: Engine().filter("shade", _keyed(spark)).select("id"),
+        "date_years": lambda spark, folder: Engine().filter("t:<0100-01-01", _years(spark)).select("id"),
         "extend": lambda spark, folder: Engine(tolerant=True, match_keys=True).extend(match_keys=None, tolerant=False, date_format="DD-MM-YYYY").filter("o_orderdate:>=01-06-1997", table(spark, folder, "orders")).select("o_orderkey"),
         "keyword_as_term": lambda spark, folder: Engine().filter("and lang:en", table(spark, folder, "documents").select("doc_id", "lang", "text")).select("doc_id"),
         "escaped_value": lambda spark, folder: Engine().filter(r"c_name:customer\#00000001?", table(spark, folder, "customer")).select("c_custkey", "c_name"),

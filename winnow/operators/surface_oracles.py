@@ -76,6 +76,11 @@ def oracle_sql() -> dict[str, str]:
         "highlight_dedupe": lit((1, "a|b", "none"), (1, "a.b", "0-1")),
         "highlight_both_ways": "SELECT o_orderkey, 'o_orderstatus' AS path, '0-1' AS spans FROM orders WHERE o_orderstatus = 'F'",
         "highlight_sanitised": "SELECT o_orderkey, 'o_orderstatus' AS path, '0-1' AS spans FROM orders WHERE o_orderstatus = 'F'",
+        "path_quoted": _ids(1),
+        "path_nested_index": _ids(1, 2),
+        "keys_inside_arrays": _ids(1, 2),
+        "keys_are_no_values": "SELECT CAST(0 AS INTEGER) AS id WHERE false",
+        "date_years": _ids(0, 1, 3, 5),
         "extend": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'",
         "keyword_as_term": "SELECT doc_id FROM documents WHERE lower(lang) = 'en' AND (contains(lower(text), 'and') OR contains(lower(lang), 'and'))",
         "escaped_value": "SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE 'customer#00000001_'",

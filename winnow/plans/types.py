@@ -6,6 +6,7 @@ a column of a known type into one of readable values, or says that no value of i
 
 from __future__ import annotations
 
+import operator as operators
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import UTC
@@ -46,6 +47,7 @@ class Malformed:
 
 
 DECLINED = None
+_COMPARES = {":>": operators.gt, ":>=": operators.ge, ":<": operators.lt, ":<=": operators.le}
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,7 @@ class ValueType:
 
     def compare(self, value: Column, operator: str, operand: object, context: Context) -> Column:
         """``value operator operand`` for the operators :> :>= :< :<=."""
-        return {":>": value > operand, ":>=": value >= operand, ":<": value < operand, ":<=": value <= operand}[operator]
+        return _COMPARES[operator](value, operand)
 
     def exists(self, values: Column, operand: object, context: Context) -> Column | None:
         """Whether any text of an array matches, for types that can't test inside a lambda; None: test each."""
