@@ -55,14 +55,11 @@ class Table:
 def frequent_pretokens(path: str) -> list[str]:
     """The pre-tokens that the vocabulary of the tokenizer file holds whole, the first FREQUENT of them."""
     library = Tokenizer.from_file(path)
-    out = []
-    for i in range(library.get_vocab_size(with_added_tokens=False)):
-        text = library.decode([i], skip_special_tokens=False)
-        if text and "\ufffd" not in text:  # else the entry is a part of a character
-            split = Split([text], True)
-            if len(split.start) == 1 and not split.others:
-                out.append(text)
-    return out[:FREQUENT]
+    entries = library.decode_batch([[i] for i in range(library.get_vocab_size(with_added_tokens=False))], skip_special_tokens=False)
+    texts = [t for t in entries if t and "\ufffd" not in t]  # else the entry is a part of a character
+    split = Split(texts, True)
+    whole = np.flatnonzero(np.bincount(split.doc, minlength=len(texts)) == 1)
+    return [texts[i] for i in whole[:FREQUENT].tolist()]
 
 
 def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
@@ -73,8 +70,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFra
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     words = frequent_pretokens(path)
     own = cache(path, True)
-    # Each hashed as a text of its own: a pre-token is its own only pre-token.
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(Split([w], True).hashes() for w in words)])
+    hashes = Split(words, True).hashes()  # each is a text of its own, and that text's only pre-token
     table = docs.sparkSession.sparkContext.broadcast(Table(hashes, own.encode_words(words)[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
