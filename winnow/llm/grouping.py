@@ -19,9 +19,6 @@ import numpy as np
 #: place stays free for best fit. The first does best where lengths vary much, the second where they vary little.
 SETTINGS = ((1 / 3, True), (1 / 16, False))
 MAX_GROUPS, MAX_PIVOTS = 256, 6000
-#: The second is tried unless the first comes so near to the bound of the volume, whatever the number of bins: it takes
-#: one and a half minutes of the driver, and no packing can gain more than that.
-NEAR = 1e-3
 _EPS = 1e-7
 
 
@@ -148,15 +145,7 @@ class _Free:
 
 def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Bins]:
     """Bins that hold each length exactly as often as it is counted; lengths are from 1 to the capacity."""
-    least = -(-int((lengths * counts).sum()) // capacity)
-    best: list[Bins] | None = None
-    for setting in SETTINGS:
-        bins = _grouped(lengths, counts, capacity, *setting)
-        if best is None or sum(b.count for b in bins) < sum(b.count for b in best):
-            best = bins
-        if sum(b.count for b in best) <= least * (1 + NEAR):
-            break
-    return best
+    return min((_grouped(lengths, counts, capacity, *setting) for setting in SETTINGS), key=lambda bins: sum(b.count for b in bins))
 
 
 def _grouped(lengths: np.ndarray, counts: np.ndarray, capacity: int, small: float, free_last: bool) -> list[Bins]:
