@@ -54,25 +54,23 @@ def _best_configuration(sizes: list[int], values: np.ndarray, capacity: int) ->
     if not use:
         return 0.0, out
     size, value = np.array([sizes[i] for i in use]), values[use]
-    # By the number of items: few of the large sizes fit a bin.
-    best, choices = np.zeros(capacity + 1), []
-    for _ in range(capacity // int(size.min())):
-        more, choice = best.copy(), np.full(capacity + 1, -1, np.int16)
-        for i, (a, v) in enumerate(zip(size.tolist(), value.tolist(), strict=True)):
-            got = best[: capacity + 1 - a] + v
-            better = got > more[a:] + _EPS
-            more[a:][better] = got[better]
-            choice[a:][better] = i
-        if (choice < 0).all():
-            break
-        best = more
-        choices.append(choice)
-    c = capacity
-    for choice in reversed(choices):
-        if choice[c] >= 0:
-            out[use[choice[c]]] += 1
-            c -= int(size[choice[c]])
-    return float(best[capacity]), out
+    # The smallest size is the width of a run of capacities whose best values depend on earlier runs alone, so each
+    # run is one step. Capacities below 0 stand in front, and no item leads there.
+    width, front = int(size.min()), int(size.max())
+    best = np.full(front + (capacity // width + 1) * width, -np.inf)
+    best[front : front + width] = 0.0
+    last = np.full(len(best), -1, np.int32)
+    earlier = np.lib.stride_tricks.sliding_window_view(best, width)
+    for at in range(front + width, len(best), width):
+        got = earlier[at - size] + value[:, None]
+        pick = got.argmax(axis=0)
+        best[at : at + width] = got[pick, np.arange(width)]
+        last[at : at + width] = pick
+    c = front + capacity
+    while last[c] >= 0:
+        out[use[last[c]]] += 1
+        c -= int(size[last[c]])
+    return float(best[front + capacity]), out
 
 
 def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
