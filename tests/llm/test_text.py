@@ -128,6 +128,27 @@ def test_bins_hold_every_length_once(counts):
     assert held == Counter(counts)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.floats(0, 1), min_size=1, max_size=8), st.integers(60, 150))
+def test_best_configuration_is_the_best(worth, capacity):
+    sizes = sorted(worth, reverse=True)
+    values = np.array([worth[s] for s in sizes])
+    got, taken = grouping._best_configuration(sizes, values, capacity)
+    best = [0.0] * (capacity + 1)
+    for c in range(1, capacity + 1):
+        best[c] = max([best[c - 1], *(best[c - s] + worth[s] for s in sizes if s <= c)])
+    assert abs(got - best[capacity]) < 1e-4 and abs(taken @ values - got) < 1e-9 and taken @ np.array(sizes) <= capacity
+
+
+def test_every_setting_is_tried_at_every_size():
+    """Also where the first comes near to the bound, as with many lengths that vary much."""
+    rng = np.random.default_rng(2)
+    for draw in (rng.lognormal(3, 1.2, 40_000), rng.normal(50, 6, 40_000)):
+        lengths, counts = np.unique(np.clip(draw.astype(np.int64), 1, 128), return_counts=True)
+        bins = sum(b.count for b in grouping.pack(lengths, counts, 128))
+        assert bins == min(sum(b.count for b in grouping._grouped(lengths, counts, 128, s)) for s in grouping.SMALL)
+
+
 def test_bins_of_usual_lengths_are_few():
     """Against the volume's bound and best-fit decreasing, on lengths as texts have them."""
     rng = np.random.default_rng(1)

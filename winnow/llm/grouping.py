@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: What is tried: the share of the capacity up to which lengths are small, and whether a configuration's smallest
-#: place stays free for best fit. The first does best where lengths vary much, the second where they vary little.
-SETTINGS = ((1 / 3, True), (1 / 16, False))
-MAX_GROUPS, MAX_PIVOTS = 256, 6000
+#: What is tried: the share of the capacity up to which lengths are small. A large share does best where lengths vary
+#: much, a small one where they vary little.
+SMALL = (1 / 3, 1 / 16)
+MAX_GROUPS, MAX_PIVOTS = 512, 6000
 _EPS = 1e-7
 
 
@@ -143,10 +143,10 @@ class _Free:
 
 def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Bins]:
     """Bins that hold each length exactly as often as it is counted; lengths are from 1 to the capacity."""
-    return min((_grouped(lengths, counts, capacity, *setting) for setting in SETTINGS), key=lambda bins: sum(b.count for b in bins))
+    return min((_grouped(lengths, counts, capacity, small) for small in SMALL), key=lambda bins: sum(b.count for b in bins))
 
 
-def _grouped(lengths: np.ndarray, counts: np.ndarray, capacity: int, small: float, free_last: bool) -> list[Bins]:
+def _grouped(lengths: np.ndarray, counts: np.ndarray, capacity: int, small: float) -> list[Bins]:
     free = _Free(capacity)
     whole = lengths == capacity
     if counts[whole].sum():
@@ -162,8 +162,7 @@ def _grouped(lengths: np.ndarray, counts: np.ndarray, capacity: int, small: floa
         for column, amount in configurations(merged, demand, capacity):
             left = min([int(amount + 1e-9), *(int(sum(k for _, k in queue[merged[i]]) // column[i]) for i in np.flatnonzero(column))])
             slots = [merged[i] for i in np.flatnonzero(column) for _ in range(int(column[i]))]
-            if free_last:  # the rounding of the other places adds to its room
-                slots = slots[: max(1, len(slots) - 1)]
+            slots = slots[: max(1, len(slots) - 1)]  # the last stays free: rounding of the others adds to its room
             while left:
                 # The longest lengths of each group take its places, as many bins at once as the runs allow.
                 need: dict[int, int] = defaultdict(int)
