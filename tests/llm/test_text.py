@@ -400,6 +400,35 @@ def test_a_fitted_model_scores_awkward_rows(spark, docs, monkeypatch):
     assert [len(t) for t, y in zip(*toxicity.labelled_sample(known, labels, 3000)[:2], strict=True) if y == 0] == [30, 30, 30]
 
 
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Whatever the bounds of samples; shares of rows give one classifier, however the rows lie in partitions and repeat."""
+    rng = np.random.default_rng(4)
+    plain, bad = [f"plain{i}" for i in range(200)], [f"{a}{b}" for a in ("zorble", "grumpt", "vexin", "quaffle") for b in "abcde"]
+    texts = [(i, " ".join([*rng.choice(plain, 20), *(rng.choice(bad, 2) if i % 2 else [])])) for i in range(900)]
+    docs, labels = brute.documents(spark, texts), spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    learned = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 5 != 0]
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 100)
+    monkeypatch.setattr(toxicity, "SHARE_ROWS", 150, raising=False)
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs.select("doc_id", "text"), model).collect()
+    held = [r for r in rows if r.doc_id not in set(learned)]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+    known = toxicity.learnable(labels)
+    features = toxicity.labelled_features(docs.union(docs).repartition(3), known, len(learned))
+    assert features.count() == len(learned) and 0.15 < features.where("calibrates").count() / len(learned) < 0.35
+    assert len(features.inputFiles()) == 4
+    monkeypatch.setattr(toxicity, "BROADCAST_IDS", 10)  # labels come by a join
+    again = toxicity.fit(docs.union(docs).repartition(3), labels)
+    assert again.threshold == model.threshold and (again.embedding == model.embedding).all() and (again.weight == model.weight).all()
+
+
+def test_dense_parts_travel_whole():
+    model, sums = textcnn.start(np.arange(1 << textcnn.BUCKET_BITS) == 5, np.random.default_rng(1))
+    values = np.random.default_rng(2).random(len(textcnn.dense_of(model, sums))).astype(np.float32).astype(np.float64)
+    textcnn.set_dense(model, sums, values)
+    assert (textcnn.dense_of(model, sums) == values).all() and model.offset in values and sums.offset == values[-1]
+
+
 def test_without_labels_nothing_is_toxic(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.keep_clean(docs, none).count() == docs.count()
