@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from winnow.llm import chat, grouping, licenses, packing, pretokens, secrets, textcnn, textscan, token_counts, toxicity
+from winnow.llm import chat, grouping, licenses, packing, pipeline, pretokens, secrets, textcnn, textscan, token_counts, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -422,6 +422,17 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     assert again.threshold == model.threshold and (again.embedding == model.embedding).all() and (again.weight == model.weight).all()
 
 
+def test_the_pipeline_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """Its first stage has no bound on words either: each insult stands in a few texts alone."""
+    rng = np.random.default_rng(6)
+    plain, bad = [f"plain{i}" for i in range(100)], [f"zorble{i}" for i in range(12)]
+    texts = [(i, " ".join([*rng.choice(plain, 12), *([bad[i // 2 % 12]] if i % 2 else [])])) for i in range(500)]
+    spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 30)
+    kept = {r.doc_id for r in pipeline.drop_toxic(spark, brute.documents(spark, texts), tmp_path.as_uri()).select("doc_id").collect()}
+    assert np.mean([(i in kept) == (i % 2 == 0) for i, _ in texts]) > 0.95
+
+
 def test_dense_parts_travel_whole():
     model, sums = textcnn.start(np.arange(1 << textcnn.BUCKET_BITS) == 5, np.random.default_rng(1))
     values = np.random.default_rng(2).random(len(textcnn.dense_of(model, sums))).astype(np.float32).astype(np.float64)
